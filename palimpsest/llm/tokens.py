@@ -18,9 +18,9 @@ import regex
 #: White space of the Unicode property, as the tokenizers' own patterns take it.
 _WS = r"\x{9}-\x{d}\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 _PAIR = f"[{_WS}][{_WS}]"
-_PY_WS = "\t-\r \x85\xa0  -     　"
+_PY_WS = "\t-\r \x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 #: Marks a cut; a text that holds it is cut at white space only.
-_CUT = ""
+_CUT = chr(0xE000)
 #: Full stops and commas that stand after neither a letter nor a digit.
 _STOP_INSIDE = r"[^\pL\pN][.,]"
 _PIECES = regex.compile(f"[{_PY_WS}]*[^{_PY_WS}]+|[{_PY_WS}]+")
