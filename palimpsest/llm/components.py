@@ -1,0 +1,39 @@
+"""Connected components by alternating large and small stars; nothing is gathered in one place."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import save_shared
+
+
+def _star(edges: DataFrame, large: bool) -> DataFrame:
+    """Large: every larger neighbour of a node is tied to the least in its neighbourhood, the node
+    included. Small: the node and its smaller neighbours are tied to the least of them."""
+    if large:
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        out = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    else:
+        down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        least = down.groupBy("a").agg(F.min("b").alias("m"))
+        out = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+    return out.where("a <> b").distinct()
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """node and component (its least node) of every node with an edge; columns a and b of longs.
+
+    Loops and repeated edges do no harm. Each round is written to the shared folder; rounds end
+    when the edges are stars and stay the same.
+    """
+    now = save_shared(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    mark = None
+    while True:
+        seen = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
+        if seen == mark or not seen[0]:
+            break
+        mark = seen
+        now = save_shared(_star(_star(now, True), False), "edges")
+    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, packing, pii, search, secrets, sharding, token_output, toxicity
+from . import decontamination, language_id, ngram_join, packing, pii, search, secrets, sharding, token_output, toxicity
 from .common import table
 
 SHARDS = 40
@@ -21,6 +21,10 @@ def op2_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), sharding.balanced_tree(SHARDS), SHARDS)
 
 
+def op3_bayes_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "copy_id", "n_links")
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -56,7 +60,7 @@ def op10_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_pivot_topk, op2_hash_tree_shards, op4_decontamination, op5_plane_token_output, op6_crf_language_id,
+        op1_pivot_topk, op2_hash_tree_shards, op3_bayes_ngram_join, op4_decontamination, op5_plane_token_output, op6_crf_language_id,
         op7_pii_deobfuscation, op8_cnn_secret_scan, op9_cnn_toxicity, op10_nnls_packing,
     )
 }
