@@ -38,7 +38,7 @@ def valid_routing(value: Column) -> Column:
     """Nine digits whose weighted sum ends in 0."""
     d = digits(value)
     total = sum((F.substring(d, i + 1, 1).cast("int") * w for i, w in enumerate(ABA_WEIGHTS)), F.lit(0))
-    return F.coalesce((F.length(d) == 9) & (d != "000000000") & (total % 10 == 0), F.lit(False))
+    return F.coalesce((F.length(d) == 9) & (total % 10 == 0), F.lit(False))
 
 
 def valid_iban(value: Column) -> Column:
@@ -62,6 +62,8 @@ def valid_vin(value: Column) -> Column:
 
 
 def not_words(value: Column) -> Column:
-    """A wallet address that doesn't read like words; bech32 ones never do."""
-    vowels = F.length(F.regexp_replace(F.lower(value), "[^aeiou]", ""))
-    return F.coalesce(F.lower(value).startswith("bc1") | (vowels / F.length(value) < WALLET_VOWEL_SHARE), F.lit(False))
+    """A wallet address that doesn't read like words: without four small letters in a row, or with few
+    vowels among its letters; bech32 ones never do."""
+    letters = F.regexp_replace(value, r"[^\p{L}]", "")
+    vowels = F.length(F.regexp_replace(F.lower(letters), "[^aeiou]", ""))
+    return F.coalesce(value.startswith("bc1") | ~value.rlike("[a-z]{4}") | (vowels / F.length(letters) < WALLET_VOWEL_SHARE), F.lit(False))

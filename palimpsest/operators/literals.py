@@ -63,10 +63,24 @@ def _find_joined(units: DataFrame, known: DataFrame, keys: tuple[str, ...], text
     word = r"[\p{L}\p{N}]+"
     table = known.withColumn("lead", F.lower(F.regexp_extract("value", word, 0)))
     text = F.lower(F.col(text_col))
-    words = units.select(*keys, text.alias("__t"), F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(word), F.lit(0)))).alias("lead"))
-    some = words.join(table, "lead").where(F.instr(F.col("__t"), F.lower(F.col("value"))) > 0)
-    at = F.instr(F.col("__t"), F.lower(F.col("value")))
-    return some.select(*keys, "value", (at - 1).cast("int").alias("begin"), (at - 1 + F.length("value")).cast("int").alias("end"))
+    words = units.select(*keys, F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(word), F.lit(0)))).alias("lead"))
+    pairs = words.join(table, "lead").select(*keys, "value").distinct()
+    return _find_pairs(units.select(*keys, text_col).join(pairs, list(keys)), keys, text_col)
+
+
+def _find_pairs(rows: DataFrame, keys: tuple[str, ...], text_col: str) -> DataFrame:
+    """Places of each row's own value in its text."""
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name in keys) + ", value string, begin int, end int"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for row in pdf.itertuples(index=False):
+                for m in re.finditer(bounded(row.value), getattr(row, text_col) or "", re.IGNORECASE):
+                    out.append((*(getattr(row, k) for k in keys), row.value, m.start(), m.end()))
+            yield pd.DataFrame(out, columns=[*keys, "value", "begin", "end"])
+
+    return rows.mapInPandas(run, schema)
 
 
 def near_tokens(tokens: DataFrame, names: DataFrame) -> DataFrame:

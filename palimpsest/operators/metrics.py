@@ -34,9 +34,10 @@ def leaks(truth: DataFrame, outputs: DataFrame) -> DataFrame:
     word = r"[\p{L}\p{N}]+"
     keyed = truth.withColumn("lead", F.lower(F.regexp_extract("value", word, 0))).where("lead <> ''")
     text = F.lower(F.col("text"))
-    words = outputs.select("set_id", "doc_id", text.alias("t"), F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(word), F.lit(0)))).alias("lead"))
+    words = outputs.select("set_id", "doc_id", F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(word), F.lit(0)))).alias("lead"))
+    some = words.join(keyed, ["set_id", "lead"]).drop("lead").distinct()
     quoted = F.concat(F.lit(r"(?<![\p{L}\p{N}])\Q"), F.lower(F.col("value")), F.lit(r"\E(?![\p{L}\p{N}])"))
-    return words.join(keyed, ["set_id", "lead"]).where(F.regexp_like("t", quoted)).select("set_id", "kind", "value", "doc_id").distinct()
+    return some.join(outputs.select("set_id", "doc_id", text.alias("t")), ["set_id", "doc_id"]).where(F.regexp_like("t", quoted)).select("set_id", "kind", "value", "doc_id").distinct()
 
 
 def report(findings: DataFrame) -> DataFrame:

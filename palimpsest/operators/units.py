@@ -23,9 +23,9 @@ def lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # lines are numbered by posexplode and offsets summed inside the row's own partition of the text,
     # without a shuffle; the fold is used for short texts only, as it copies its list
     short = F.length(F.col(text_col)) < 4096
-    rows = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("__text"), F.when(short, walk).alias("__lines"))
+    rows = documents.select(F.monotonically_increasing_id().alias("__rid"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("__text"), F.when(short, walk).alias("__lines"))
     few = rows.where("__lines is not null").select("doc_id", F.explode("__lines").alias("l")).select("doc_id", "l.line_no", "l.start", "l.text")
-    many = rows.where("__lines is null and __text is not null").select("doc_id", F.monotonically_increasing_id().alias("__rid"), F.posexplode(F.split("__text", "\n", -1)).alias("line_no", "text"))
+    many = rows.where("__lines is null and __text is not null").select("doc_id", "__rid", F.posexplode(F.split("__text", "\n", -1)).alias("line_no", "text"))
     before = Window.partitionBy("__rid").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
     many = many.select("doc_id", "line_no", F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0)).cast("int").alias("start"), "text")
     return few.unionByName(many)
