@@ -3,7 +3,7 @@
 Documents are cut into windows of 2048 ids; the rests (1 to 2047 ids) form a histogram, which is
 all that the driver sees and is as small for any corpus. Shallow combinations of lengths that
 fill a window exactly are columns of a matrix; non-negative least squares finds how often to
-repeat each so that the histogram is used up; counts are rounded down, and what remains is packed
+repeat each so that the histogram is used up; counts are rounded, and what remains is packed
 greedily, still as counts. Pieces then find their sequence by their rank among those of their
 length, without meeting in one task.
 """
@@ -17,18 +17,26 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import gapless_rank, save_shared, text_slices
 from .tokens import encoder
 
 WINDOW = 2048
+#: Bits of a rank among the pieces of one length.
+RANK_BITS = 50
 #: Steps of the projected-gradient solver.
 SOLVER_STEPS = 400
 
 
+#: Lengths with the most pieces, for which all fillings with two further lengths are enumerated.
+HOT_LENGTHS, HOT_REPEATS = 24, 4
+
+
 def combinations(hist: np.ndarray, window: int) -> list[tuple[int, ...]]:
-    """Pairs that fill the window, each length twinned with its complement; triples of a length
-    taken twice, or of neighbours, with what is missing; and halves and quarters of the window."""
+    """Shallow fillings of the window: pairs of a length and its complement, triples of a length,
+    itself (or its neighbour, half or double) and what is missing; halves and quarters; and for the
+    most frequent lengths one to four of them with one or any two others."""
     have = set(np.flatnonzero(hist).tolist())
     found = {tuple(sorted((a, window - a))) for a in have if window - a in have}
     for a in have:
@@ -38,6 +46,15 @@ def combinations(hist: np.ndarray, window: int) -> list[tuple[int, ...]]:
     for k in (4, 8):
         if window // k in have:
             found.add((window // k,) * k)
+    for a in np.argsort(-hist, kind="stable")[:HOT_LENGTHS].tolist():
+        for k in range(1, HOT_REPEATS + 1) if hist[a] else ():
+            rest = window - k * a
+            if rest <= 0:
+                found |= {(a,) * k} if rest == 0 else set()
+                break
+            if rest in have:
+                found.add(tuple(sorted((*(a,) * k, rest))))
+            found |= {tuple(sorted((*(a,) * k, b, rest - b))) for b in have if b <= rest - b and rest - b in have}
     return sorted(found)
 
 
@@ -75,9 +92,12 @@ def plan(hist: np.ndarray, window: int = WINDOW) -> list[tuple[tuple[int, ...],
             left[lengths] -= n * times
             out.append((tuple(combo), n))
 
-    combos = combinations(left, window)
-    for combo, x in zip(combos, solve(combos, left.astype(float)), strict=True):
-        take(combo, int(x + 1e-6))
+    combos, carry = combinations(left, window), 0.0
+    x = solve(combos, left.astype(float))
+    for i in np.argsort(-x, kind="stable"):  # rounded down, and what is cut off goes to the next
+        carry += x[i]
+        take(combos[i], n := int(carry + 1e-9))
+        carry -= n
     while len(big := np.flatnonzero(left)):  # the residuals: the longest piece first, then what fits best
         combo, room = [int(big[-1])], window - int(big[-1])
         left[combo[0]] -= 1
@@ -149,14 +169,18 @@ def pack_documents(df: DataFrame, vocabulary: str, end_id: int = 1, window: int
     for length, n in pieces.groupBy("length").count().collect():  # at most `window` rows
         hist[length] = n
     full, hist[window] = int(hist[window]), 0
-    rows = places(plan(hist, window), full) + [(window, 0, full, 0, 0)]
-    layout: dict[int, list] = {}
-    for length, *row in rows:
-        layout.setdefault(length, []).append(tuple(row))
-    lists = spark.createDataFrame([(k, v) for k, v in layout.items()], "length long, layout array<struct<lo: long, n: long, first: long, offset: long>>")
+    rows = sorted(places(plan(hist, window), full) + [(window, 0, full, 0, 0)])
+    spots = spark.sparkContext.broadcast(np.array(rows, np.int64).reshape(-1, 5))  # a few rows for each length, whatever the corpus
     ranked = gapless_rank(pieces, ["length"], ["doc_id", "start", "ids_crc32", "doc_tokens"], "__rank")
-    # the plan has at most a few rows for each of `window` lengths, whatever the corpus
-    spot = F.filter("layout", lambda p: (p["lo"] <= F.col("__rank")) & (F.col("__rank") < p["lo"] + p["n"]))[0]
-    out = ranked.join(F.broadcast(lists), "length").withColumn("__spot", spot)
-    keep = [*[c.split()[0] for c in PIECES.split(", ")], *(["ids"] if with_ids else [])]
-    return out.select(*keep, (F.col("__spot.first") + F.col("__rank") - F.col("__spot.lo")).alias("sequence_id"), F.col("__spot.offset").alias("offset"))
+    fields = [*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        length, lo, _, first, offset = spots.value.T
+        begins = (length << RANK_BITS) + lo
+        for batch in batches:
+            rank = batch.column("__rank").to_numpy()
+            at = np.searchsorted(begins, (batch.column("length").to_numpy() << RANK_BITS) + rank, side="right") - 1
+            kept = [c for c in batch.schema.names if c != "__rank"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(first[at] + rank - lo[at]), pa.array(offset[at])], [*kept, "sequence_id", "offset"])
+
+    return ranked.select(*pieces.columns, "__rank").mapInArrow(put, T.StructType(fields))
