@@ -10,7 +10,8 @@ from palimpsest.llm import language_id, secrets, toxicity
 def documents(sf_dir):
     import duckdb
 
-    return duckdb.connect().sql(f"select doc_id, text, lang, toxic from read_parquet('{sf_dir.replace('0.001', '0.01')}/documents.parquet') left join read_parquet('{sf_dir.replace('0.001', '0.01')}/labels.parquet') using (doc_id) order by doc_id").fetchall()
+    at = sf_dir.replace("0.001", "0.01")
+    return duckdb.connect().sql(f"select d.doc_id, text, lang, toxic from read_parquet('{at}/documents.parquet') d left join read_parquet('{at}/labels.parquet') l on d.doc_id = l.doc_id order by 1").fetchall()
 
 
 def held(doc_id):

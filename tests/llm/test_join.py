@@ -6,7 +6,6 @@ import numpy as np
 import pytest
 
 from palimpsest.llm import decontamination, ngram_join
-from palimpsest.llm.components import components
 from palimpsest.llm.words import EDGES
 
 
@@ -78,12 +77,6 @@ def test_pruning_keeps_what_may_reach():
     assert ngram_join.posterior_keeps(a, np.where(rng.random(a.shape) < 0.3, a, a + 1), least).mean() < 0.01
 
 
-def test_components(spark):
-    df = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(50, 51)], "a long, b long")
-    got = {r.node: r.component for r in components(df).collect()}
-    assert got == {**{i: 0 for i in range(31)}, 50: 50, 51: 50}
-
-
 def hits(text, items, n=13):
     import re
 
