@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..storage import save_shared
 from . import spans
 from .categories import TAGS
 
@@ -40,7 +41,8 @@ def number(entities: DataFrame) -> DataFrame:
     rows = entities.withColumn("tag", tag_of(F.col("category")))
     parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     order = ["tag", "first_seen", "entity_key"]
-    rows = rows.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id())
+    # written before it is counted, so that both readers see the same ranges
+    rows = save_shared(rows.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()), "ranges")
     counts = rows.groupBy("tag", "__part").agg(F.count(F.lit(1)).alias("__k"))
     before = Window.partitionBy("tag").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select(F.col("tag").alias("__tag"), F.col("__part").alias("__p"), F.coalesce(F.sum("__k").over(before), F.lit(0)).alias("__base"))

@@ -29,6 +29,14 @@ def test_registry_numbers_and_rewrites(spark):
     assert registry.contexts(m, docs).count() == 3
 
 
+def test_numbers_are_gapless_over_many_ranges(spark):
+    rows = spark.range(5000).selectExpr("concat('k', id) as entity_key", "if(id % 3 = 0, 'email', 'phone') as category", "named_struct('doc_id', id * 7919 % 5003, 'unit_id', 0, 'begin', 0) as first_seen")
+    got = registry.number(rows).collect()
+    for tag in ("EMAIL", "PHONE"):
+        mine = sorted((r.first_seen.doc_id, r.n) for r in got if r.tag == tag)
+        assert [n for _, n in mine] == list(range(1, len(mine) + 1))
+
+
 def test_components_of_a_long_path(spark):
     df = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7), (0, 1)], "a long, b long")
     got = {r.node: r.component for r in graph.components(df).collect()}
