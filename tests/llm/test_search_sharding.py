@@ -1,3 +1,7 @@
+import hashlib
+import math
+import zlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -54,6 +58,24 @@ def test_shards(spark, odd):
     assert sharding.shard_documents(odd.where("false"), tree, 40).count() == 0
 
 
+def test_draws_equal_a_plain_descent(spark, odd):
+    tree = sharding.balanced_tree(40)
+
+    def descend(key, t):
+        regions, racks, leaves = sharding.levels(t)
+
+        def draw(children):
+            return min((-math.log((int(hashlib.md5(f"{key}|{name}".encode()).hexdigest()[:13], 16) + 0.5) / 16**13) / w, name, x) for name, w, x in children)[2]
+
+        return draw(leaves[draw(racks[draw(regions)])])
+
+    for r in sharding.shard_documents(odd, tree, 40).collect():
+        key = "null" if r.doc_id is None else str(r.doc_id)
+        assert (r.shard, r.grown_shard) == (descend(key, tree), descend(key, tree.grow(40)))
+    texts = {(r.doc_id, zlib.crc32((r.text or "").encode()), len((r.text or "").encode()) + 16) for r in odd.collect()}
+    assert {(r.doc_id, r.text_crc32, r["size"]) for r in sharding.shard_documents(odd, tree, 40).collect()} == texts
+
+
 def test_weights_and_growth(spark):
     ids = spark.range(20000).withColumnRenamed("id", "doc_id")
     tree = sharding.Tree(((((0, 1.0), (1, 3.0)), ((2, 4.0),)), (((3, 8.0),),)))
