@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_slices
+from .common import release_memory, text_slices
 from .words import Words, split
 
 #: Documents of each language that the model is fitted on, about.
@@ -219,7 +219,10 @@ def fit(documents: DataFrame) -> Model:
         here = (F.col("lang") == lang) & (share < SAMPLE_PER_LANGUAGE / n)
         chosen = here if chosen is None else chosen | here
     got = usable.where(chosen).dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id", ignore_index=True)
-    return fit_texts(got["text"].tolist(), got["lang"].tolist())
+    langs = got["lang"].tolist()
+    model = fit_texts(got.pop("text").tolist(), langs)
+    release_memory()
+    return model
 
 
 def identify(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,10 +17,14 @@ _MIX = np.uint64(0xD6E8FEB86659FD93)
 _powers = np.ones(1, np.uint64), np.ones(1, np.uint64)
 
 
+#: Bytes of different words that are hashed at once; it bounds the tables of powers.
+BLOCK_BYTES = 1 << 20
+
+
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _powers
     if len(_powers[0]) < n:
-        size = max(n, 2 * len(_powers[0]))
+        size = max(n, BLOCK_BYTES + 256)
         _powers = tuple(np.concatenate([[np.uint64(1)], np.cumprod(np.full(size - 1, p, np.uint64))]) for p in (_P, _INVERSE))
     return _powers
 
@@ -53,6 +58,16 @@ class Words:
     def hasher(self) -> Hasher:
         return Hasher(self.data)
 
+    def blocks(self) -> Iterator[tuple[slice, Words]]:
+        """Runs of different words of some BLOCK_BYTES bytes, with their bytes alone and no texts."""
+        a = 0
+        while a < len(self.begin):
+            b = max(a + 1, int(np.searchsorted(self.end, self.begin[a] + BLOCK_BYTES, side="right")))
+            lo, hi = int(self.begin[a]), int(self.end[b - 1])
+            none = np.empty(0, np.int64)
+            yield slice(a, b), Words(none, none, self.data[lo:hi], self.begin[a:b] - lo, self.end[a:b] - lo, self.letters[a:b])
+            a = b
+
 
 def split(texts: pa.Array) -> Words:
     """Words between white space; a null or empty text has one empty word."""
@@ -66,4 +81,4 @@ def split(texts: pa.Array) -> Words:
     raw = uniq.buffers()[2]
     data = np.frombuffer(raw, np.uint8)[: ends[-1]] if raw is not None else np.empty(0, np.uint8)
     letters = pc.match_substring_regex(uniq, r"\pL").to_numpy(zero_copy_only=False)
-    return Words(coded.indices.to_numpy().astype(np.int64), at - at[0], data, ends[:-1], ends[1:], letters)
+    return Words(coded.indices.to_numpy(), at - at[0], data, ends[:-1], ends[1:], letters)
