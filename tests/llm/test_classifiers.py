@@ -108,3 +108,27 @@ def test_windows_cover_long_candidates(n):
     text = "x " + "a1" * (n // 2) + " y"
     seen = "".join(secrets.windows(text, 2, 2 + n // 2 * 2))
     assert seen.count("a1") >= n // 2
+
+
+@pytest.mark.parametrize("epochs", [0, 1, secrets.EPOCHS])
+def test_threshold_keeps_the_recall(monkeypatch, epochs):
+    """A network that has learned little needs a negative logit, which the threshold must reach."""
+    monkeypatch.setattr(secrets, "EPOCHS", epochs)
+    model = secrets.fit_texts(["token = abcdef0123456789 and more", "plain words only"])
+    rng = np.random.default_rng(5)
+    keys = [x for x in (secrets.invent(rng) for _ in range(2000)) if x[3]]
+    found = np.mean([secrets.scores(model, secrets.windows(*x[:3])).max() >= model.threshold for x in keys])
+    assert model.recall >= secrets.RECALL and found >= secrets.RECALL - 0.03
+
+
+def test_threshold_may_be_negative():
+    logit = np.linspace(-9, 1, 100)
+    assert secrets.keeping(logit, 0.95) < 0 and (logit >= secrets.keeping(logit, 0.95)).mean() >= 0.95
+
+
+def test_keys_of_letters_alone_are_found():
+    key = "QwhTzKpLmXvBnRsYdGfJ"
+    text = f"the key is {key} as agreed"
+    assert secrets.candidates(text) == [(11, 31)] and secrets.candidates("short words, 123456789012 and ------------") == []
+    model = secrets.fit_texts(["token = abcdef0123456789 and more", "plain words only"])
+    assert secrets.find_learned(model, [text], [secrets.find_base(text)]) == [[(11, 31)]]
