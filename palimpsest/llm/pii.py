@@ -1,9 +1,11 @@
 """Personal data with offset-preserving deobfuscation.
 
 Identifiers are found in the text as it is. Texts that hold disguises are then rewritten by three
-transducers: look-alike letters, digits and signs become plain ones; spelled digits become digits;
-"at" and "dot" in brackets or between names become signs. Each keeps for every character where its
-source begins and ends, so what is found in the rewritten text maps back to the source.
+transducers: look-alike letters, digits and signs become plain ones; spelled digits become digits,
+alone or among plain ones; "at" and "dot" in brackets, between names or between numbers and "plus"
+before a number become signs. Each keeps for every character where its source begins and ends, so
+what is found in the rewritten text maps back to the source. Whether digits are an identifier is
+left to its own length and check digit.
 """
 
 from __future__ import annotations
@@ -103,22 +105,32 @@ _SPELLED = {
     for i, w in enumerate(words.split())
 } | {"oh": "0"}
 _NUMBER = "(?:" + "|".join(sorted(_SPELLED, key=len, reverse=True)) + ")"
-_SPELLED_RUN = re.compile(rf"(?<!\w)(?:(?:plus|\+)[\s,-]+)?{_NUMBER}(?:[\s,.-]{{1,3}}{_NUMBER}){{6,}}(?!\w)", re.IGNORECASE)
-_WORD = re.compile(r"[^\W\d_]+|\+")
+_NEAR = r"[\s,.-]{1,3}"
+_SPELLED_RUN = re.compile(rf"(?<![\w@]){_NUMBER}(?:{_NEAR}{_NUMBER})*(?![\w@])", re.IGNORECASE)
+#: Spelled and plain digits in any mixture, with their sign.
+_MIXED = re.compile(rf"(?<![\w@])(?P<sign>plus[\s,.(-]{{1,3}}|\+[\s,.(-]{{0,3}})?(?:{_NUMBER}|[0-9]+)(?:[\s,.()-]{{1,4}}(?:{_NUMBER}|[0-9]+))*(?![\w@])", re.IGNORECASE)
+_TOKEN = re.compile(r"[^\W\d_]+|[0-9]+")
+_PLUS = re.compile(r"(?<![\w@])(?<![0-9]\s)plus[\s,.-]{1,3}(?=\(?[0-9])", re.IGNORECASE)
+#: Letters that the patterns take for i, s and k when they ignore case.
+_FOLD = str.maketrans("İıſK", "iisk")
 _AT = r"(?:at|arroba|ät)"
 _DOT = r"(?:dot|punkt|point|punto)"
 _BRACKETED_AT = re.compile(rf"\s*[\[({{<]\s*(?:{_AT}|@)\s*[\])}}>]\s*", re.IGNORECASE)
 _BRACKETED_DOT = re.compile(rf"\s*[\[({{<]\s*(?:{_DOT}|\.)\s*[\])}}>]\s*", re.IGNORECASE)
 #: Bare words count only together: name at name dot name.
 _BARE = re.compile(rf"(?<![\w@])[\w.+-]+(?P<at>\s+{_AT}\s+|@)[\w-]+(?:\s+{_DOT}\s+[\w-]+)+(?!\w)", re.IGNORECASE)
-_BARE_AT, _BARE_DOT = re.compile(rf"\s+{_AT}\s+", re.IGNORECASE), re.compile(rf"\s+{_DOT}\s+", re.IGNORECASE)
-#: Ends of host names that a bare "dot" may stand before.
+_BARE_DOT = re.compile(rf"\s+{_DOT}\s+", re.IGNORECASE)
+_NUMBER_DOT = re.compile(rf"(?<=[0-9])\s*(?<![^\W\d_]){_DOT}\s*(?=[0-9])", re.IGNORECASE)
+_END = re.compile(r"[^\W\d_]{2,}|xn--[\w-]+", re.IGNORECASE)
+#: Words that make "at the dot of" and "at this point in" prose, and ends of host names
+#: that are read as such even there.
+_PROSE = frozenset("the a an this that these those some any one no every each which what his her its my your our their der die das dem den ein einem einer le la les un une el los las".split())
 _HOST_ENDS = frozenset("com org net edu gov io info biz eu de fr es uk us ca ch it nl be example test invalid local".split())
-_NEAR = r"[\s,.-]{1,3}"
-#: What every disguise holds, as one automaton over whole batches: four spelled digits in a row, a
-#: sign in brackets, a lone "dot", or a look-alike.
+#: What every disguise holds, as one automaton over whole batches: four spelled digits in a row, one
+#: beside a plain digit, "plus" before a digit, a sign in brackets, a lone "dot", or a look-alike.
 HINT = "(?i:" + "|".join(
-    [_NEAR.join([_NUMBER] * 4), rf"[\[({{<]\s*(?:{_AT}|{_DOT}|@|\.)\s*[\])}}>]", rf"\s{_DOT}\s"]
+    [_NEAR.join([_NUMBER] * 4), rf"[0-9][\s,.()-]{{1,4}}{_NUMBER}\b", rf"\b{_NUMBER}[\s,.()-]{{1,4}}[0-9]", r"\bplus[\s,.-]{1,3}\(?[0-9]",
+     rf"[\[({{<]\s*(?:{_AT}|{_DOT}|@|\.)\s*[\])}}>]", rf"\s{_DOT}\s", rf"[0-9]\s*{_DOT}\s*[0-9]"]
 ) + ")|[" + "".join(f"\\x{{{ord(c):x}}}" for c in LOOKALIKES) + "]"
 
 
@@ -157,14 +169,54 @@ class Mapped:
         return int(self.begin[a]), int(self.end[b - 1])
 
 
+def _digit(word: str) -> str:
+    return _SPELLED.get(word.translate(_FOLD).lower(), word)
+
+
 def _spelled_edits(text: str) -> list[tuple[int, int, str]]:
+    """A run that is a phone or a card as a whole becomes its digits; in any other, spelled digits do
+    and what stands between them and plain ones stays."""
+    out = []
+    for m in _MIXED.finditer(text):
+        begin = m.end("sign") if m["sign"] else m.start()
+        tokens = [(t.start(), t.end(), _digit(t[0])) for t in _TOKEN.finditer(text, begin, m.end())]
+        spelled = [not text[a].isdigit() for a, _, _ in tokens]
+        if not any(spelled):
+            continue
+        if m["sign"] and 9 <= sum(len(d) for _, _, d in tokens) <= 15:
+            out.append((*m.span(), "+" + "".join(d for _, _, d in tokens)))
+            continue
+        n = len(tokens)
+        for i, j in ((0, n), (0, n - 1), (1, n)):  # a number word of the prose may stand at an end
+            digits = "".join(d for _, _, d in tokens[i:j])
+            if any(spelled[i:j]) and all(spelled[:i] + spelled[j:]) and 13 <= len(digits) <= 19 and luhn(digits):
+                out.append((tokens[i][0], tokens[j - 1][1], digits))
+                break
+        else:
+            for r in _SPELLED_RUN.finditer(text, begin, m.end()):
+                out.append((*r.span(), "".join(_digit(t) for t in _TOKEN.findall(r[0]))))
+    return out
+
+
+def _plus_edits(text: str) -> list[tuple[int, int, str]]:
     out = []
-    for m in _SPELLED_RUN.finditer(text):
-        words = [w.lower() for w in _WORD.findall(m[0])]
-        out.append((*m.span(), "".join("+" if w in ("plus", "+") else _SPELLED[w] for w in words)))
+    for m in _PLUS.finditer(text):
+        phone = _PHONE.match("+" + text[m.end() : m.end() + 64].lstrip("("))
+        if phone and 9 <= sum(c.isdigit() for c in phone[0]) <= 15:
+            out.append((m.start(), m.end() + (text[m.end()] == "("), "+"))
     return out
 
 
+def _is_host(m: re.Match) -> bool:
+    """Whether name-at-host-dot-end is an address: "at breaking point when" and "at the dot of" are prose
+    unless a common end follows."""
+    words = m[0][m.end("at") - m.start() :].split()
+    if words[-1].lower() in _HOST_ENDS:
+        return True
+    prose = words[0].lower() in _PROSE or (m["at"].strip().lower() == "at" and words[-2].lower() == "point")
+    return bool(_END.fullmatch(words[-1])) and not prose
+
+
 def deobfuscate(text: str) -> Mapped:
     """The text without its disguises."""
     plain = Mapped.plain(text)
@@ -176,10 +228,18 @@ def deobfuscate(text: str) -> Mapped:
     edits = []
     for m in _BARE.finditer(plain.text):
         at, after = m.span("at"), m.end("at")
-        if re.split(r"\s+", m[0])[-1].lower() in _HOST_ENDS:
+        if _is_host(m):
             edits += [(*at, "@")] if plain.text[slice(*at)] != "@" else []
             edits += [(*d.span(), ".") for d in _BARE_DOT.finditer(plain.text, after, m.end())]
-    return plain.rewrite(edits)
+    plain = plain.rewrite(edits)
+    plain = plain.rewrite([(*m.span(), ".") for m in _NUMBER_DOT.finditer(plain.text)])
+    return plain.rewrite(_plus_edits(plain.text))
+
+
+def _only_a_word(text: str, wide: Span, narrow: Span) -> bool:
+    """Whether a span has only one spelled digit more than one it holds: "+1 801 555 0100, one of"."""
+    words = _TOKEN.findall(text[wide[0] : narrow[0]]) + _TOKEN.findall(text[narrow[1] : wide[1]])
+    return len(words) == 1 and words[0].isalpha() and _digit(words[0]) != words[0]
 
 
 def hinted(texts: pa.Array) -> list[bool]:
@@ -200,7 +260,7 @@ def find(text: str, hint: bool = True) -> tuple[dict[str, list[Span]], dict[str,
             s = plain.source(a, b)
             if s[1] - s[0] == b - a and not plain.changed[a:b].any():
                 continue
-            if all(s[1] <= x or y <= s[0] or (s[0] <= x and y <= s[1] and s != (x, y)) for x, y in base[kind]):
+            if all(s[1] <= x or y <= s[0] or (s[0] <= x and y <= s[1] and s != (x, y) and not _only_a_word(text, s, (x, y))) for x, y in base[kind]):
                 more[kind].append(s)
     return base, more
 

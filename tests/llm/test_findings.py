@@ -71,3 +71,27 @@ def test_secret_patterns():
         t = "".join(rng.choice(["token", "=", ":", " ", '"', "AKIA", "0", "a", "Secret", "api_key", "Z9", "ſ", "K", "f", "abcdef0123456789", "\n", "-"]) for _ in range(rng.randint(0, 25)))
         want = {"assign": [m.span() for m in ASSIGN.finditer(t) if len(m[2]) >= 12], "access": [m.span() for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 18], "hex": [m.span() for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 16]}
         assert secrets.find_base(t) == want, t
+
+
+MIXED = [
+    ("call +49 176 five five five 1234 now", "phone", "+49 176 five five five 1234"), ("call plus 49 176 five five five one two three four now", "phone", "plus 49 176 five five five one two three four"),
+    ("call plus 49 176 5551234 now", "phone", "plus 49 176 5551234"), ("call plus 49 (one seven six) 555 1234 now", "phone", "plus 49 (one seven six) 555 1234"),
+    ("card 4111 1111 one one one one 1111 ok", "card", "4111 1111 one one one one 1111"), ("card four one one one, 1111, 1111, 1111 ok", "card", "four one one one, 1111, 1111, 1111"),
+    ("write anna at firma dot at now", "email", "anna at firma dot at"), ("x at mail dot se", "email", "x at mail dot se"), ("x at mail dot com dot mx", "email", "x at mail dot com dot mx"), ("anna at firma dot museum", "email", "anna at firma dot museum"),
+    ("host 10 dot 0 dot 0 dot 1 up", "ip", "10 dot 0 dot 0 dot 1"), ("host 10 dot zero dot zero dot one up", "ip", "10 dot zero dot zero dot one"),
+]
+
+
+@pytest.mark.parametrize(("text", "kind", "found"), MIXED)
+def test_mixed_disguises(text, kind, found):
+    _, more = pii.find(text)
+    assert [text[a:b] for a, b in more[kind]] == [found]
+    assert pii.hinted(pa.array([text])) == [True]
+    assert f"[{kind.upper()}]" in pii.redact(text)
+
+
+def test_prose_beside_numbers_is_kept():
+    assert pii.redact("+1 801 555 0100, one of us") == "[PHONE], one of us"
+    assert pii.redact("one 4111 1111 1111 1111 x") == "one [CARD] x"
+    for t in ("He was at breaking point when it broke", "at this point in time", "5 plus 3000000000", "plus 1,000,000,000 more", "3 point 5 or one, 2, three", "ſix 5 sİx"):
+        assert not any(pii.find(t)[1].values()), t
