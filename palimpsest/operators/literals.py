@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -14,6 +15,8 @@ from ..functions.validators import digits
 
 #: Shortest value that is searched for, and the most values that are sent to every task (some 100 bytes each).
 LEAST, BROADCAST_VALUES = 4, 50_000
+#: Letters that a pattern takes for i, s and k when it ignores case.
+_FOLD = {0x130: "i", 0x131: "i", 0x17F: "s", 0x212A: "k"}
 
 
 def bounded(value: str) -> str:
@@ -26,10 +29,12 @@ def bounded(value: str) -> str:
 
 
 def find_values(units: DataFrame, values: DataFrame, keys: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
-    """keys, value, begin, end: every place where a known value stands in a text, the longest first.
+    """keys, value, begin, end: every place where a known value stands in a text. Places don't overlap:
+    from left to right, the longest value that begins there is taken, and of values that differ in
+    case or white space only the longest, then the first in order.
 
     A dictionary within the bound goes to every task as one pattern; a larger one is joined on the
-    first word of the values and verified. Values shorter than four characters and bare years are
+    first word of the values, and each text is searched for those that stand in it. Values shorter than four characters and bare years are
     not searched. Matching ignores case."""
     fine = (F.length("value") >= LEAST) & ~F.col("value").rlike(r"^(19[5-9][0-9]|20[0-4][0-9])$")
     known = values.select(F.trim("value").alias("value")).where(fine).distinct()
@@ -40,47 +45,82 @@ def find_values(units: DataFrame, values: DataFrame, keys: tuple[str, ...] = ("d
     return _find_joined(units, known, keys, text_col)
 
 
+def _folded(value: str) -> str:
+    return " ".join((value if value.isascii() else value.translate(_FOLD)).lower().split())
+
+
+def _finder(values: Iterable[str]) -> Callable[[str], list[tuple[str, int, int]]]:
+    """What finds (value, begin, end) in a text, the longest value first."""
+    listed = sorted(values, key=lambda v: (-len(v), v))
+    pattern = re.compile("|".join(bounded(v) for v in listed), re.IGNORECASE) if listed else None
+    canonical = {_folded(v): v for v in reversed(listed)}
+
+    def owner(found: str) -> str:
+        """The value of a match; letters that only the pattern takes for one are told by the pattern."""
+        return canonical.get(_folded(found)) or next(v for v in listed if re.fullmatch(bounded(v), found, re.IGNORECASE))
+
+    return lambda text: [(owner(m[0]), m.start(), m.end()) for m in pattern.finditer(text)] if pattern else []
+
+
+def _schema(rows: DataFrame, keys: tuple[str, ...], more: str) -> str:
+    return ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name in keys), more])
+
+
 def _find_listed(units: DataFrame, listed: list[str], keys: tuple[str, ...], text_col: str) -> DataFrame:
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in units.schema if f.name in keys) + ", value string, begin int, end int"
-    canonical = {" ".join(v.lower().split()): v for v in reversed(listed)}
-    first = {" ".join(v.lower().split()).split()[0] for v in listed}
+    first = {_folded(v).split()[0] for v in listed}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pattern = re.compile("|".join(bounded(v) for v in listed), re.IGNORECASE) if listed else None
+        find = _finder(listed)
         for pdf in batches:
             out = []
             for row in pdf.itertuples(index=False):
                 text = getattr(row, text_col)
-                if pattern is None or not text or not any(f in text.lower() for f in first):
+                if not text:
                     continue
-                out += [(*(getattr(row, k) for k in keys), canonical[" ".join(m[0].lower().split())], m.start(), m.end()) for m in pattern.finditer(text)]
+                low = (text if text.isascii() else text.translate(_FOLD)).lower()
+                if not any(f in low for f in first):
+                    continue
+                out += [(*(getattr(row, k) for k in keys), *m) for m in find(text)]
             yield pd.DataFrame(out, columns=[*keys, "value", "begin", "end"])
 
-    return units.select(*keys, text_col).mapInPandas(run, schema)
+    return units.select(*keys, text_col).mapInPandas(run, _schema(units, keys, "value string, begin int, end int"))
 
 
 def _find_joined(units: DataFrame, known: DataFrame, keys: tuple[str, ...], text_col: str) -> DataFrame:
-    word = r"[\p{L}\p{N}]+"
-    table = known.withColumn("lead", F.lower(F.regexp_extract("value", word, 0)))
-    text = F.lower(F.col(text_col))
-    words = units.select(*keys, F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(word), F.lit(0)))).alias("lead"))
+    word, texts = r"[\p{L}\p{N}]+", units.select(*keys, text_col)
+    fold = lambda c: F.lower(F.translate(c, "".join(map(chr, _FOLD)), "".join(_FOLD.values())))
+    table = known.withColumn("lead", fold(F.regexp_extract("value", word, 0)))
+    leads = F.regexp_extract_all(fold(F.col(text_col)), F.lit(word), F.lit(0))
+    # A value without a word has an empty lead, which every text holds.
+    words = units.select(*keys, F.explode(F.array_distinct(F.concat(leads, F.array(F.lit(""))))).alias("lead"))
     pairs = words.join(table, "lead").select(*keys, "value").distinct()
-    return _find_pairs(units.select(*keys, text_col).join(pairs, list(keys)), keys, text_col)
+    there = _standing(_with_texts(pairs, texts, keys), keys, text_col).distinct()
+    listed = there.groupBy(*keys).agg(F.collect_list("value").alias("value"))
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = [(*(getattr(row, k) for k in keys), *m) for row in pdf.itertuples(index=False) for m in _finder(row.value)(getattr(row, text_col) or "")]
+            yield pd.DataFrame(out, columns=[*keys, "value", "begin", "end"])
+
+    return _with_texts(listed, texts, keys).mapInPandas(run, _schema(units, keys, "value string, begin int, end int"))
+
+
+def _with_texts(rows: DataFrame, texts: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Rows joined with the texts of their keys; null keys are equal to each other."""
+    named = rows.withColumnsRenamed({k: f"__{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    return texts.join(named, reduce(lambda a, b: a & b, same)).drop(*[f"__{k}" for k in keys])
 
-def _find_pairs(rows: DataFrame, keys: tuple[str, ...], text_col: str) -> DataFrame:
-    """Places of each row's own value in its text."""
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name in keys) + ", value string, begin int, end int"
+
+def _standing(rows: DataFrame, keys: tuple[str, ...], text_col: str) -> DataFrame:
+    """keys and value of the rows whose text holds their own value."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for row in pdf.itertuples(index=False):
-                for m in re.finditer(bounded(row.value), getattr(row, text_col) or "", re.IGNORECASE):
-                    out.append((*(getattr(row, k) for k in keys), row.value, m.start(), m.end()))
-            yield pd.DataFrame(out, columns=[*keys, "value", "begin", "end"])
+            out = [(*(getattr(row, k) for k in keys), row.value) for row in pdf.itertuples(index=False) if re.search(bounded(row.value), getattr(row, text_col) or "", re.IGNORECASE)]
+            yield pd.DataFrame(out, columns=[*keys, "value"])
 
-    return rows.mapInPandas(run, schema)
+    return rows.mapInPandas(run, _schema(rows, keys, "value string"))
 
 
 def near_tokens(tokens: DataFrame, names: DataFrame) -> DataFrame:

@@ -113,3 +113,34 @@ def test_caption(spark):
     text = "\n".join(["IN THE COURT", *["x"] * 9, "COMES NOW the petitioner", "more"])
     df = spark.createDataFrame([(text,)], "t string")
     assert df.select(units.caption_region(F.col("t"))).first()[0].count("\n") == 9
+
+
+def test_large_blocks_link_what_small_ones_do(spark):
+    names = ["acme widgets", "amce widgets", "burn works", "bum works", "xavier holdings", "xaviers holdings", "xavler holdings", "yonder fields", "yonder fielbs", "yonder boats"]
+    many = [f"{x}{w} company{i}" for x in "abxy" for i, w in enumerate(f"{a}{b}" for a in "bcdefghijklmnopq" for b in "bcdefghijklmnopq")]
+    small = {r.value: r.cluster for r in grouping.organisation_clusters(spark.createDataFrame([(n,) for n in names], "value string")).collect()}
+    rows = spark.createDataFrame([(n,) for n in names + many], "value string")
+    large = {r.value: r.cluster for r in grouping.organisation_clusters(rows).collect()}
+    assert small["acme widgets"] == small["amce widgets"] and small["burn works"] == small["bum works"]
+    assert {n: large[n] for n in names} == small
+
+
+def test_alike_pairs_equal_all_pairs(spark):
+    import random
+
+    from palimpsest.functions import text as T
+
+    rng = random.Random(3)
+    values = sorted({"a" + "".join(rng.choice("mrn0o1l ") for _ in range(rng.randint(1, 8))) for _ in range(500)})
+    df = spark.createDataFrame([(v,) for v in values], "value string")
+    want = df.selectExpr("value as a").crossJoin(df.selectExpr("value as b")).where("a < b").where(T.alike(F.col("a"), F.col("b")))
+    assert sorted(map(tuple, grouping.alike_pairs(df, F.lit("")).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_known_values_agree_on_both_ways(spark, monkeypatch):
+    u = spark.createDataFrame([(1, "from New York City, york and NEW  YORK or $$$$ ſmith"), (None, "York alone"), (2, "a York, new york york"), (2, "York again"), (3, None)], "doc_id long, text string")
+    v = spark.createDataFrame([("York",), ("york",), ("New York",), ("new york",), ("New  York",), ("York City",), ("Smith",), ("$$$$",), ("york york york",)], "value string")
+    listed = sorted((tuple(r) for r in literals.find_values(u, v).collect()), key=str)
+    monkeypatch.setattr(literals, "BROADCAST_VALUES", 0)
+    assert sorted((tuple(r) for r in literals.find_values(u, v).collect()), key=str) == listed
+    assert (1, "New  York", 5, 13) in listed and not any(r[1] == "York City" for r in listed) and any(r[0] is None or r[0] != r[0] for r in listed)
