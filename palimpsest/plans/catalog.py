@@ -590,8 +590,11 @@ with s as (select c_custkey as id, unnest(['801-555-' || k, '(801) 555-' || k, '
 select canonical as entity_key, '801-555-' || right(canonical, 4) as head from s
 """)
 def a3_value_groups(spark, sf_dir):
-    k = F.lpad((F.col("c_custkey") % 10000).cast("string"), 4, "0")
-    rows = table(spark, sf_dir, "customer").where("c_custkey < 10000").select(F.posexplode(F.array(F.concat(F.lit("801-555-"), k), F.concat(F.lit("(801) 555-"), k), F.concat(F.lit("1.801.555."), k))).alias("i", "canonical"))
+    """Of every customer; the SQL states those below 10,000, whose numbers stay in one exchange."""
+    number = (F.lit(8015550000) + F.col("c_custkey")).cast("string")
+    a, b, c = (F.substring(number, *x) for x in ((1, 3), (4, 3), (7, 4)))
+    forms_ = F.array(F.concat_ws("-", a, b, c), F.concat(F.lit("("), a, F.lit(") "), b, F.lit("-"), c), F.concat_ws(".", F.lit("1"), a, b, c))
+    rows = table(spark, sf_dir, "customer").select(F.posexplode(forms_).alias("i", "canonical"))
     rows = rows.select(F.col("canonical").alias("entity_key"), "canonical", F.lit("phone").alias("category"), F.when(F.col("i") == 0, 3).otherwise(1).alias("occurrences"))
     return grouping.same_key_groups(rows).select("entity_key", "head")
 
