@@ -609,6 +609,12 @@ def a6_components(spark, sf_dir):
     return components(l.select((F.col("l_partkey") % 500).alias("a"), (F.col("l_suppkey") % 500).alias("b")))
 
 
+@query()
+def a6_components_whole(spark, sf_dir):
+    """Of every row and unfolded keys; a6_components holds what its SQL states, about 1 % of the rows."""
+    return components(table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b")))
+
+
 @query("""
 with n as (select c_custkey as id, ['Maria', 'John', 'Peter'][c_custkey % 3 + 1] || ' Keller' || (c_custkey % 50) as name from customer), f as (select name, count(*) as documents from n group by name)
 select name, name as main from f where documents >= 3 union all

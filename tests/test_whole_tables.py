@@ -23,3 +23,18 @@ def test_a3_value_groups_holds_every_customer(spark, large):
         head = f"{n[:3]}-{n[3:6]}-{n[6:]}"
         want |= {(x, head) for x in (head, f"({n[:3]}) {n[3:6]}-{n[6:]}", f"1.{n[:3]}.{n[3:6]}.{n[6:]}")}
     assert got == want and len(got) > 3 * 10000
+
+
+def test_a6_components_hold_every_edge(spark, sf_dir):
+    got = {r.node: r.component for r in catalog.a6_components_whole(spark, sf_dir).collect()}
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in duckdb.sql(f"select distinct l_partkey, l_suppkey from {read(sf_dir, 'lineitem')} where l_partkey <> l_suppkey").fetchall():
+        lo, hi = sorted((root(a), root(b)))
+        parent[hi] = lo
+    assert got == {x: root(x) for x in parent}
