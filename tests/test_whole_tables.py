@@ -25,6 +25,17 @@ def test_a3_value_groups_holds_every_customer(spark, large):
     assert got == want and len(got) > 3 * 10000
 
 
+def test_a4_account_groups_hold_every_customer(spark, large):
+    got = {tuple(r) for r in catalog.a4_account_groups_whole(spark, large).collect()}
+    tails, want = {}, set()
+    for (k,) in duckdb.sql(f"select c_custkey from {read(large, 'customer')}").fetchall():
+        d = f"{k:012d}"
+        tails.setdefault(d[8:], []).append(d)
+        want |= {(d, d, 0), (f"{d[:4]}-{d[4:8]}-{d[8:]}", d, 0)}
+    want |= {(f"XXXX{t}", d[0] if len(d) == 1 else f"XXXX{t}", 0 if len(d) == 1 else len(d)) for t, d in tails.items()}
+    assert got == want and {len(d) for d in tails.values()} == {1, 2}
+
+
 def test_a6_components_hold_every_edge(spark, sf_dir):
     got = {r.node: r.component for r in catalog.a6_components_whole(spark, sf_dir).collect()}
     parent = {}
