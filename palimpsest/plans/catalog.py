@@ -91,6 +91,14 @@ def s10_column_texts(spark, sf_dir):
     return units.column_texts(cells)
 
 
+@query()
+def s10_column_texts_whole(spark, sf_dir):
+    """Of whole texts; s10_column_texts holds what its SQL states, prefixes of 40 characters."""
+    role = F.when(F.col("role") == "user", 0).when(F.col("role") == "assistant", 1).otherwise(2)
+    cells = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.lit(0).alias("table_id"), F.col("turn").alias("row"), role.alias("col"), "text")
+    return units.column_texts(cells)
+
+
 @query("""
 with c as (select p_size as table_id, row_number() over (partition by p_size order by p_partkey) - 1 as row, p_name as a, p_brand as b from part),
 cells as (select table_id, row, 0 as col, a as text from c union all select table_id, row, 1, b from c),

@@ -25,6 +25,14 @@ def test_a3_value_groups_holds_every_customer(spark, large):
     assert got == want and len(got) > 3 * 10000
 
 
+def test_s10_column_texts_hold_whole_texts(spark, large):
+    got = {(r.doc_id, r.col): r.text for r in catalog.s10_column_texts_whole(spark, large).collect()}
+    columns = {}
+    for conv, role, text in duckdb.sql(f"select conv_id, role, text from {read(large, 'conversations')} where trim(text) <> '' order by conv_id, turn").fetchall():
+        columns.setdefault((int(conv), {"user": 0, "assistant": 1}.get(role, 2)), []).append(text)
+    assert got == {k: "\n".join(v) for k, v in columns.items() if len(v) >= 2}
+
+
 def test_a4_account_groups_hold_every_customer(spark, large):
     got = {tuple(r) for r in catalog.a4_account_groups_whole(spark, large).collect()}
     tails, want = {}, set()
