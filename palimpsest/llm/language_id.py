@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release_memory, text_slices
+from .common import giving_back, release_memory, text_slices
 from .words import Words, split
 
 #: Documents of each language that the model is fitted on, about.
@@ -238,6 +238,6 @@ def identify(documents: DataFrame, model: Model, id_col: str = "doc_id", text_co
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(lang), pa.array(score), pa.array(switches)], ["doc_id", "lang_pred", "score", "n_switches"])
 
     rows = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    out = rows.mapInArrow(run, "doc_id long, lang_pred string, score double, n_switches long")
+    out = rows.mapInArrow(giving_back(run), "doc_id long, lang_pred string, score double, n_switches long")
     held = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 5 == 0
     return out.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "lang_pred", "score", "n_switches")

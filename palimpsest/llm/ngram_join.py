@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from .common import save_shared, text_slices
+from .common import giving_back, save_shared, text_slices
 from .words import Words, split
 
 WORDS, THRESHOLD = 5, "0.8"
@@ -141,7 +141,7 @@ def _profiles(documents: DataFrame, id_col: str, text_col: str, n: int) -> DataF
             )
 
     rows = documents.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("thash"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "rid long, doc_id long, thash long, node binary, size long, sig binary")
+    return rows.mapInArrow(giving_back(run), "rid long, doc_id long, thash long, node binary, size long, sig binary")
 
 
 def digest(s: np.ndarray) -> bytes:
@@ -162,7 +162,7 @@ def _gram_sets(documents: DataFrame, wanted: DataFrame, id_col: str, text_col: s
     rows = documents.select(F.col(id_col).cast("long").alias("__id"), F.xxhash64(text_col).alias("__hash"), F.col(text_col).alias("text"))
     rows = rows.join(wanted, F.col("__id").eqNullSafe(F.col("rep_doc")) & (F.col("__hash") == F.col("thash")))
     rows = rows.select("nid", "copies", "sig", "node", "text")
-    return rows.mapInArrow(run, "nid long, copies long, sig binary, grams binary").dropDuplicates(["nid"])
+    return rows.mapInArrow(giving_back(run), "nid long, copies long, sig binary, grams binary").dropDuplicates(["nid"])
 
 
 def _pruned(pairs: DataFrame, kinds: DataFrame, threshold: Fraction) -> DataFrame:
@@ -175,7 +175,7 @@ def _pruned(pairs: DataFrame, kinds: DataFrame, threshold: Fraction) -> DataFram
             yield batch.select(["a", "b"]).filter(pa.array(posterior_keeps(*sig, least)))
 
     side = lambda x: kinds.select(F.col("nid").alias(x), F.col("sig").alias(f"s{x}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(giving_back(run), "a long, b long")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
@@ -190,7 +190,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFra
             yield batch.select(["a", "b", "ca", "cb"]).filter(pa.array(keep, pa.bool_()))
 
     side = lambda x: sets.select(F.col("nid").alias(x), F.col("copies").alias(f"c{x}"), F.col("grams").alias(f"g{x}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ca", "cb", "ga", "gb").mapInArrow(run, "a long, b long, ca long, cb long")
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ca", "cb", "ga", "gb").mapInArrow(giving_back(run), "a long, b long, ca long, cb long")
 
 
 def block_links(a: list[np.ndarray], b: list[np.ndarray], sa: np.ndarray, sb: np.ndarray, least: dict[int, int], threshold: Fraction) -> np.ndarray:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import gapless_rank, save_shared, text_slices
+from .common import gapless_rank, giving_back, save_shared, text_slices
 from .tokens import encoder
 
 WINDOW = 2048
@@ -153,7 +153,7 @@ def cut_documents(df: DataFrame, vocabulary: str, end_id: int = 1, window: int =
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(cut, schema)
+    return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(giving_back(cut), schema)
 
 
 def pack_documents(df: DataFrame, vocabulary: str, end_id: int = 1, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -183,4 +183,4 @@ def pack_documents(df: DataFrame, vocabulary: str, end_id: int = 1, window: int
             kept = [c for c in batch.schema.names if c != "__rank"]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(first[at] + rank - lo[at]), pa.array(offset[at])], [*kept, "sequence_id", "offset"])
 
-    return ranked.select(*pieces.columns, "__rank").mapInArrow(put, T.StructType(fields))
+    return ranked.select(*pieces.columns, "__rank").mapInArrow(giving_back(put), T.StructType(fields))

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_slices
+from .common import giving_back, text_slices
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -308,7 +308,7 @@ def find_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str =
             kinds = [pa.string() if c.endswith("string") else pa.int64() for c in RESULT.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    return documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, RESULT)
+    return documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(giving_back(run), RESULT)
 
 
 def redact_documents(documents: DataFrame, text_col: str = "text") -> DataFrame:
@@ -320,4 +320,4 @@ def redact_documents(documents: DataFrame, text_col: str = "text") -> DataFrame:
             new = pa.array([redact(t, h) for t, h in zip(batch.column(at).to_pylist(), hinted(batch.column(at)), strict=True)], batch.schema.field(at).type)
             yield batch.set_column(at, text_col, new)
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.mapInArrow(giving_back(run), documents.schema)

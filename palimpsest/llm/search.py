@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import save_shared
+from .common import giving_back, save_shared
 
 #: Vectors in a block of candidates, and of queries.
 CANDIDATE_BLOCK, QUERY_BLOCK = 4096, 256
@@ -101,7 +101,7 @@ def _blocks(df: DataFrame, pivots: np.ndarray, dim: int, size: int) -> DataFrame
                 kind = next((t for t in ("<i2", "<i4") if v.min() >= np.iinfo(t).min and v.max() <= np.iinfo(t).max), "<i8")
                 yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((ids.astype("<i8").tobytes(), pa.binary()), (v.astype(kind).tobytes(), pa.binary()), (distances(v, pivots).tobytes(), pa.binary()), (kind, pa.string()))], ["ids", "v", "d", "kind"])
 
-    return df.mapInArrow(pack, "ids binary, v binary, d binary, kind string")
+    return df.mapInArrow(giving_back(pack), "ids binary, v binary, d binary, kind string")
 
 
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, pivots: int = PIVOTS, pivot_sample: int = PIVOT_SAMPLE) -> DataFrame:
@@ -148,7 +148,7 @@ def top_k_of_length(queries: DataFrame, candidates: DataFrame, dim: int, k: int,
                 yield pa.RecordBatch.from_arrays([pa.array(a[0][np.array(rows, int)]), pa.array(ids, pa.int64()), pa.array(scores, pa.int64())], ["query_id", "vec_id", "score"])
 
     pairs = left.join(right, ["name", "salt"]).select("q_ids", "q_v", "q_d", "q_kind", "ids", "v", "d", "kind")
-    return pairs.mapInArrow(score, "query_id long, vec_id long, score long")
+    return pairs.mapInArrow(giving_back(score), "query_id long, vec_id long, score long")
 
 
 ORACLE = """

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import save_shared, text_slices
+from .common import giving_back, save_shared, text_slices
 from .tokens import encoder
 
 #: Ids that are transposed at once.
@@ -138,7 +138,7 @@ def encode_documents(df: DataFrame, vocabulary: str, end_id: int = 0, bits: bool
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    return save_shared(rows.mapInArrow(pack, SEGMENTS), "segments")
+    return save_shared(rows.mapInArrow(giving_back(pack), SEGMENTS), "segments")
 
 
 def segment_starts(segments: DataFrame) -> DataFrame:
@@ -164,7 +164,7 @@ def read_documents(segments: DataFrame) -> DataFrame:
                 sums = [zlib.crc32(octets[4 * a : 4 * b]) for a, b in zip(cut, cut[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([pa.array([part] * len(docs), pa.int32()), pa.array([seq] * len(docs), pa.int32()), pa.array(docs, pa.int64()), pa.array(cut[:-1]), pa.array(tokens, pa.int64()), pa.array(sums, pa.int64())], ["part", "seq", "doc_id", "inner", "n_tokens", "ids_crc32"])
 
-    docs = segments.mapInArrow(unpack, "part int, seq int, doc_id long, inner long, n_tokens long, ids_crc32 long")
+    docs = segments.mapInArrow(giving_back(unpack), "part int, seq int, doc_id long, inner long, n_tokens long, ids_crc32 long")
     starts = save_shared(segment_starts(segments), "segment-index")
     if starts.count() <= BROADCAST_SEGMENTS:
         starts = F.broadcast(starts)
@@ -187,4 +187,4 @@ def export_segments(segments: DataFrame, folder: str) -> int:
                 os.replace(f.name, path)
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
 
-    return segments.mapInArrow(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return segments.mapInArrow(giving_back(write), "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

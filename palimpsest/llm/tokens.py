@@ -24,8 +24,9 @@ _CUT = chr(0xE000)
 #: Full stops and commas that stand after neither a letter nor a digit.
 _STOP_INSIDE = r"[^\pL\pN][.,]"
 _PIECES = regex.compile(f"[{_PY_WS}]*[^{_PY_WS}]+|[{_PY_WS}]+")
-#: Pieces that a worker remembers; beyond it starts anew.
-CACHE_PIECES = 1_000_000
+#: Bytes of pieces and their ids that a worker remembers, about; beyond it starts anew. A piece takes
+#: PIECE_BYTES besides its letters and ids.
+CACHE_BYTES, PIECE_BYTES = 32 << 20, 200
 
 
 class Encoder:
@@ -41,6 +42,7 @@ class Encoder:
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
+        self.held = 0
         self.ids, self.begin, self.count = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
 
     def whole(self, text: str) -> np.ndarray:
@@ -61,11 +63,12 @@ class Encoder:
             self.ids = np.concatenate([self.ids, np.array(list(chain.from_iterable(lists)), np.uint32)])
             rows[miss] = np.arange(first, first + len(miss))
             self.known.update(zip(new, range(first, first + len(new)), strict=True))
+            self.held += PIECE_BYTES * len(new) + sum(map(len, new)) + 4 * int(count.sum())
         return rows
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each). Null texts are empty."""
-        if len(self.known) > CACHE_PIECES:
+        if self.held > CACHE_BYTES:
             self.forget()
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         if not len(texts):
