@@ -1,31 +1,81 @@
-"""The categories of findings: tag of their placeholders, group, and whether they are on."""
+"""The categories of findings: tag of their placeholders, group, style, and whether they are on."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Group -> "category TAG" in order; a category after "off" is off until it is chosen.
-GROUPS = {
-    "People": "person NAME, minor MINOR, minor_initials CHILD, organization ORG, employer EMPLOYER, location LOCATION, party_value OTHER",
-    "Contact": "email EMAIL, phone PHONE, fax FAX, url URL, social_handle HANDLE, username USERNAME, ip_address IP, mac_address DEVICE, gps GPS",
-    "Government ID": "ssn SSN, ein TAXID, drivers_license DL, passport PASSPORT, alien_number ANUM, military_id MILID, inmate_number INMATE, off student_id STUDENTID, off employee_id EMPLOYEEID, voter_id VOTERID, bar_number BARNO, notary_id NOTARY, professional_license LICENSE, tribal_id TRIBALID",
-    "Health": "mrn MRN, off health_plan HEALTHPLAN, diagnosis_code DXCODE, prescription RX",
-    "Financial": "bank_account ACCOUNT, masked_account ACCOUNT, off routing_number ROUTING, iban IBAN, swift SWIFT, credit_card CARD, payment_handle PAYHANDLE, crypto_wallet WALLET, investment_account INVACCOUNT, off loan_number LOAN, off policy_number POLICY, off claim_number CLAIM, off check_number CHECK, off order_number ORDER, off tracking_number TRACKING",
-    "Property": "street_address ADDRESS, parcel_number PARCEL, deed_reference DEEDREF, legal_description LEGALDESC, vin VIN, license_plate PLATE, vehicle_title TITLE, vessel_number VESSEL, safe_deposit SAFEBOX, storage_unit STORAGE",
-    "Case": "case_number CASENO, case_name CASENAME, case_designator CASEREF",
-    "Vital": "dob DOB, pob POB",
-}
-
-#: category -> (tag, group, style, on)
-CATEGORIES: dict[str, tuple[str, str, str, bool]] = {}
-for _group, _rows in GROUPS.items():
-    for _row in _rows.split(", "):
-        *_off, _name, _tag = _row.split()
-        CATEGORIES[_name] = (_tag, _group, "person" if _name in ("person", "minor") else "placeholder", not _off)
-TAGS = {k: v[0] for k, v in CATEGORIES.items()}
-ENABLED = frozenset(k for k, v in CATEGORIES.items() if v[3])
+#: Category, tag, group, on. People's names get an invented name, all others a placeholder.
+REGISTRY = (
+    ("person", "NAME", "People", True),
+    ("minor", "MINOR", "People", True),
+    ("minor_initials", "CHILD", "People", True),
+    ("organization", "ORG", "People", True),
+    ("employer", "EMPLOYER", "People", True),
+    ("location", "LOCATION", "People", True),
+    ("party_value", "OTHER", "People", True),
+    ("email", "EMAIL", "Contact", True),
+    ("phone", "PHONE", "Contact", True),
+    ("fax", "FAX", "Contact", True),
+    ("url", "URL", "Contact", True),
+    ("social_handle", "HANDLE", "Contact", True),
+    ("username", "USERNAME", "Contact", True),
+    ("ip_address", "IP", "Contact", True),
+    ("mac_address", "DEVICE", "Contact", True),
+    ("gps", "GPS", "Contact", True),
+    ("ssn", "SSN", "Government ID", True),
+    ("ein", "TAXID", "Government ID", True),
+    ("drivers_license", "DL", "Government ID", True),
+    ("passport", "PASSPORT", "Government ID", True),
+    ("alien_number", "ANUM", "Government ID", True),
+    ("military_id", "MILID", "Government ID", True),
+    ("inmate_number", "INMATE", "Government ID", True),
+    ("student_id", "STUDENTID", "Government ID", False),
+    ("employee_id", "EMPLOYEEID", "Government ID", False),
+    ("voter_id", "VOTERID", "Government ID", True),
+    ("bar_number", "BARNO", "Government ID", True),
+    ("notary_id", "NOTARY", "Government ID", True),
+    ("professional_license", "LICENSE", "Government ID", True),
+    ("tribal_id", "TRIBALID", "Government ID", True),
+    ("mrn", "MRN", "Health", True),
+    ("health_plan", "HEALTHPLAN", "Health", False),
+    ("diagnosis_code", "DXCODE", "Health", True),
+    ("prescription", "RX", "Health", True),
+    ("bank_account", "ACCOUNT", "Financial", True),
+    ("masked_account", "ACCOUNT", "Financial", True),
+    ("routing_number", "ROUTING", "Financial", False),
+    ("iban", "IBAN", "Financial", True),
+    ("swift", "SWIFT", "Financial", True),
+    ("credit_card", "CARD", "Financial", True),
+    ("payment_handle", "PAYHANDLE", "Financial", True),
+    ("crypto_wallet", "WALLET", "Financial", True),
+    ("investment_account", "INVACCOUNT", "Financial", True),
+    ("loan_number", "LOAN", "Financial", False),
+    ("policy_number", "POLICY", "Financial", False),
+    ("claim_number", "CLAIM", "Financial", False),
+    ("check_number", "CHECK", "Financial", False),
+    ("order_number", "ORDER", "Financial", False),
+    ("tracking_number", "TRACKING", "Financial", False),
+    ("street_address", "ADDRESS", "Property", True),
+    ("parcel_number", "PARCEL", "Property", True),
+    ("deed_reference", "DEEDREF", "Property", True),
+    ("legal_description", "LEGALDESC", "Property", True),
+    ("vin", "VIN", "Property", True),
+    ("license_plate", "PLATE", "Property", True),
+    ("vehicle_title", "TITLE", "Property", True),
+    ("vessel_number", "VESSEL", "Property", True),
+    ("safe_deposit", "SAFEBOX", "Property", True),
+    ("storage_unit", "STORAGE", "Property", True),
+    ("case_number", "CASENO", "Case", True),
+    ("case_name", "CASENAME", "Case", True),
+    ("case_designator", "CASEREF", "Case", True),
+    ("dob", "DOB", "Vital", True),
+    ("pob", "POB", "Vital", True),
+)
+TAGS = {category: tag for category, tag, _, _ in REGISTRY}
+ENABLED = frozenset(category for category, _, _, on in REGISTRY if on)
 
 
 def categories(spark: SparkSession) -> DataFrame:
     """The registry as a table of some sixty rows."""
-    return spark.createDataFrame([(k, *v) for k, v in CATEGORIES.items()], "category string, tag string, grp string, style string, enabled boolean")
+    rows = [(c, t, g, "person" if c in ("person", "minor") else "placeholder", on) for c, t, g, on in REGISTRY]
+    return spark.createDataFrame(rows, "category string, tag string, grp string, style string, enabled boolean")

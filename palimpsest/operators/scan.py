@@ -1,12 +1,14 @@
-"""The scan: all detectors over texts, gates on every match, greedy resolution of overlaps.
+"""The scan: all detectors over texts, gates on every candidate, greedy resolution of overlaps.
 
 Texts come in Arrow batches. For each detector a linear-time automaton over the whole batch tells
-which texts hold its words or digits at all; the detector's own pattern runs on those only.
+which texts hold its words or digits at all; the detector's own pattern runs on those only. Labels
+of all categories are one automaton and one pass.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -14,43 +16,46 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .detectors import CHECKS, DATE, DETECTORS, Detector
+from . import gates, labels
+from .detectors import BARE_HOST, DETECTORS, ROW_DATES, Detector, digits
 
 Match = tuple[int, int, str, int]  # begin, end, category, priority
 
-#: What a label may be followed by without being a value.
-JUNK = frozenset("number no no. num id identification of the is was for and to in on n/a none null unknown pending tbd name account card code date type".split())
-MONEY = re.compile(r"[$€£]?\s?-?\d{1,3}(?:,\d{3})+(?:\.\d{1,2})?|[$€£]\s?-?\d+(?:\.\d{1,2})?|\d+\.\d{2}")
-_DATE = re.compile(DATE, re.IGNORECASE)
-_SMALL_DECIMAL, _YEAR = re.compile(r"\d{1,3}\.\d{1,2}"), re.compile(r"19[5-9]\d|20[0-4]\d")
-_CUE = re.compile(r"(?:ending in|last four|no\.?|number|#)\s*[:\-]?\s*$", re.IGNORECASE)
-_ACREAGE = re.compile(r"\d+(?:\.\d+)?\s*ac(?:res?)?\b", re.IGNORECASE)
-#: Kinds whose values are decimals by nature, that are never a year, that are numbers of accounts.
-DECIMAL = frozenset(("diagnosis_code", "gps", "ip_address"))
-NO_YEAR = frozenset("bank_account investment_account masked_account loan_number policy_number claim_number check_number ssn drivers_license".split())
-ACCOUNTS = frozenset("bank_account investment_account masked_account loan_number".split())
-NEVER_MASKED = frozenset("check_number order_number tracking_number case_number".split())
-_PHONE = re.compile(r"(?:\+?1[\s.-]?)?(?:\(\d{3}\)\s?|\d{3}[\s.-])\d{3}[\s.-]\d{4}")
-_PHONE_BEFORE = re.compile(r"(?:tele)?phone|\bcell|\bmobile|\bfax|\btel\b", re.IGNORECASE)
-_REFERENCE_BEFORE = re.compile(r"(?:check|transaction|ref(?:erence)?|conf(?:irmation)?|trace|order|tracking|auth|invoice|receipt)\b\W*(?:no\.?|number|#|id)?\W*$", re.IGNORECASE)
-_ACCOUNT_BEFORE = re.compile(r"(?:account|acct|a/c|checking|savings)\b\W*(?:no\.?|number|#)?\W*$", re.IGNORECASE)
-TOLL_FREE = re.compile(r"(?<!\d)(?:\+?1[\s.-]?)?\(?(?:800|833|844|855|866|877|888)\)?[\s.-]?\d{3}[\s.-]?\d{4}(?!\d)")
-#: Citations and courts that are never findings.
-ALLOWED = [
-    re.compile(p)
-    for p in (
-        r"\b\d+\s+U\.?\s?S\.?\s?C\.?(?:\s*§+)?\s*\d+[\w()-]*", r"§+\s*\d[\w.()-]*", r"\b[Rr]ule\s+\d+[\w.()-]*",
-        r"\b\d+\s+(?:P\.[23]d|F\.[23]d|F\.\s?Supp\.(?:\s?[23]d)?|S\.\s?Ct\.|U\.S\.)\s+\d+", r"\b\d{4}\s+UT(?:\s+App)?\s+\d+",
-        r"\b(?:Utah|Idaho|Nevada) Code(?: Ann\.)?\s*§*\s*[\d-]+[\w.()-]*",
-        r"\b(?:District|Superior|Supreme|Circuit|Juvenile|Justice|Appellate) Court(?: of [A-Z]\w+)?",
+#: Area codes of numbers that are free to call.
+FREE_CODES = ("800", "833", "844", "855", "866", "877", "888")
+TOLL_FREE = re.compile(rf"(?<!\d)(?:\+?1[\s.-]?)?\(?(?:{'|'.join(FREE_CODES)})\)?[\s.-]?\d{{3}}[\s.-]?\d{{4}}(?!\d)")
+_PARAGRAPH = r"\d[\w.-]*\w?(?:\(\w{1,4}\))*"
+_CAPITALS = r"[A-Z][\w'’-]*\.?"
+_REPORTER = r"(?:U\.\s?S\.|S\.\s?Ct\.|L\.\s?Ed\.(?:\s?2d)?|F\.(?:\s?[234](?:d|th))?|F\.\s?Supp\.(?:\s?[23]d)?|[PA]\.(?:\s?[23]d)?|N\.\s?[EW]\.(?:\s?2d)?|S\.\s?[EW]\.(?:\s?2d)?|So\.(?:\s?[23]d)?)"
+_CITATION = rf"(?:\d{{4}}\s+[A-Z]{{2}}(?:\s+App\.?)?\s+\d+|\d+\s+{_REPORTER}\s+\d+)"
+_TITLE_OF_COURT = r"(?:Judge|Justice|Commissioner|Magistrate|Hon\.|Honorable)"
+#: Citations of law and names of courts and their officers, which are never findings; each with what a
+#: text must hold to have any.
+ALLOWED = tuple(
+    (needs, re.compile(pattern))
+    for needs, pattern in (
+        ("Code", rf"\b[A-Z][a-z]+\s+Code(?:\s+Ann(?:otated|\.)?)?,?\s*(?:§+|Sec(?:tion|\.)?|Title)?\s*{_PARAGRAPH}"),
+        ("ec", rf"\b[Ss]ec(?:tions?|s)?\b\.?\s*{_PARAGRAPH}(?!,?\s+Township)"),
+        ("§", rf"§+\s*{_PARAGRAPH}"),
+        ("S", rf"\b\d+\s+U\.?\s?S\.?\s?C\.?(?:\s?A\.?)?\s*(?:§+|Sec(?:tion|\.)?)?\s*{_PARAGRAPH}"),
+        ("R", rf"\b\d+\s+C\.?\s?F\.?\s?R\.?\s*(?:§+|Part)?\s*{_PARAGRAPH}"),
+        ("ule", rf"\b[Rr]ules?\s+(?:of\s+(?:[A-Z][a-z]+\s+){{1,3}})?{_PARAGRAPH}"),
+        ("R.", rf"\b(?:[A-Z][a-z]+\.?\s+)?R\.\s+(?:[A-Z][a-z]*\.\s+){{1,3}}{_PARAGRAPH}"),
+        ("", rf"(?:\b{_CAPITALS}(?:\s+{_CAPITALS}){{0,3}}\s+vs?\.?\s+{_CAPITALS}(?:\s+{_CAPITALS}){{0,3}},\s+)?\b{_CITATION}"),
+        ("", rf"\b{_TITLE_OF_COURT}\s+{_CAPITALS}(?:\s+{_CAPITALS}){{0,3}}"),
+        ("Judicial", r"\b[A-Z][a-z]+\s+Judicial\s+District(?:\s+Court)?"),
+        ("Court", r"\b(?:District|Superior|Supreme|Circuit|Juvenile|Justice|Appellate)\s+Court(?:\s+(?:of|for)\s+(?:the\s+)?[A-Z]\w+)?"),
+        ("Clerk", r"\b(?:Court\s+Clerk|Clerk\s+of\s+(?:the\s+)?(?:\w+\s+)?Court)\b"),
     )
-]
+)
 
 
-@lru_cache(maxsize=1)
-def _compiled() -> list[tuple[Detector, re.Pattern]]:
-    return [(d, d.compiled()) for d in DETECTORS]
+@lru_cache(maxsize=64)
+def shapes(categories: frozenset[str] | None) -> tuple[tuple[Detector, re.Pattern], ...]:
+    """The compiled detectors of the categories (None: of all)."""
+    return tuple((d, d.compiled()) for d in DETECTORS if categories is None or d.category in categories)
 
 
 def merge(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -64,84 +69,90 @@ def merge(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def overlaps(a: int, b: int, spans: Iterable[tuple[int, int]]) -> bool:
-    return any(a < y and x < b for x, y in spans)
+def overlaps(a: int, b: int, spans: list[tuple[int, int]]) -> bool:
+    """Whether a span overlaps one of others that are in order and apart."""
+    at = bisect_left(spans, (b, b)) - 1
+    return at >= 0 and a < spans[at][1]
 
 
 def resolve(matches: Iterable[Match]) -> list[Match]:
     """By priority, then length, then place: a match stays if none before it overlaps it."""
-    kept: list[Match] = []
+    kept: list[tuple[int, int]] = []
+    out = []
     for m in sorted(matches, key=lambda m: (-m[3], m[0] - m[1], m[0], m[2])):
-        if not any(m[0] < k[1] and k[0] < m[1] for k in kept):
-            kept.append(m)
-    return sorted(kept)
+        if not overlaps(m[0], m[1], kept):
+            insort(kept, (m[0], m[1]))
+            out.append(m)
+    return sorted(out)
 
 
 def protected(text: str, terms: Iterable[str] = ()) -> list[tuple[int, int]]:
     """What no finding may touch: citations, courts, toll-free numbers, and terms as whole words."""
-    spans = [m.span() for p in ALLOWED for m in p.finditer(text)] + [m.span() for m in TOLL_FREE.finditer(text)]
+    spans = [m.span() for needs, p in ALLOWED if needs in text for m in p.finditer(text)]
+    spans += [m.span() for m in TOLL_FREE.finditer(text)]
     for t in terms:
         spans += [m.span() for m in re.finditer(rf"(?<!\w){re.escape(t)}(?!\w)", text, re.IGNORECASE)]
     return merge(spans)
 
 
-def wrong_shape(category: str, value: str, label: str) -> bool:
-    """Money, dates, years and small decimals are values of few kinds."""
-    cue = bool(_CUE.search(label))
-    if category not in DECIMAL and MONEY.fullmatch(value):
-        return True
-    if category != "dob" and _DATE.fullmatch(value) and not cue:
-        return True
-    if category not in DECIMAL and _SMALL_DECIMAL.fullmatch(value):
-        return True
-    if category in NO_YEAR and _YEAR.fullmatch(value) and not cue:
-        return True
-    return category == "parcel_number" and bool(_ACREAGE.match(value))
-
-
-def other_number(category: str, value: str, before: str) -> bool:
-    """A number that its surroundings show to be of another kind; ``before`` is its line so far."""
-    masked = re.search(r"[Xx*•#]{2}", value) is not None
-    if category in NEVER_MASKED and masked:
-        return True
-    if category not in ACCOUNTS:
-        return False
-    if _PHONE.fullmatch(value) and not _ACCOUNT_BEFORE.search(before):
-        return True
-    if len(re.sub(r"\D", "", value)) == 10 and _PHONE_BEFORE.search(before):
-        return True
-    return not masked and bool(_REFERENCE_BEFORE.search(before)) and not _ACCOUNT_BEFORE.search(before)
-
-
-def cut_from_number(text: str, begin: int, end: int) -> bool:
-    """The head or tail of a longer figure; values with a letter or a hyphen are whole."""
-    value = text[begin:end]
-    if re.search(r"[^\W\d_]|-", value):
-        return False
-    if value[-1:].isdigit() and re.match(r"\.\d|,\d{3}(?!\d)", text[end:]):
-        return True
-    if value[:1].isdigit() and re.search(r"\d\.$", text[:begin]):
-        return True
-    return bool(re.match(r"\d{3}(?!\d)", value)) and bool(re.search(r"\d,$", text[:begin]))
-
-
-def scan(text: str, detectors: Iterable[tuple[Detector, re.Pattern]] | None = None, terms: Iterable[str] = ()) -> list[Match]:
-    """The resolved matches of one text."""
-    keep = protected(text, terms)
-    found: list[Match] = []
-    for d, pattern in _compiled() if detectors is None else detectors:
+def _candidates(text: str, some: Iterable[tuple[Detector, re.Pattern]], named: labels.Plan | None) -> Iterator[tuple[int, int, str, int, bool, int]]:
+    """(begin, end, category, priority, unlabelled card, where the label ends) of all matches."""
+    for d, pattern in some:
         for m in pattern.finditer(text):
             a, b = m.span(d.group)
-            b = a + len(text[a:b].rstrip(" \t\r\n.,;:"))
-            value = text[a:b]
-            if not value or value.lower() in JUNK or (d.check and not CHECKS[d.check](value)):
-                continue
-            before = text[max(text.rfind("\n", 0, a) + 1, a - 40) : a]
-            if overlaps(a, b, keep) or wrong_shape(d.category, value, before) or other_number(d.category, value, before) or cut_from_number(text, a, b):
-                continue
-            category = "check_number" if d.bare and re.match(rf"\s*(?:{DATE}\s+){{1,2}}$", before, re.IGNORECASE) else d.category
-            found.append((a, b, category, d.priority))
-    return resolve(found)
+            if d.fit:
+                b = a + d.fit(text[a:b])
+            if a < b and (not d.check or d.check(text[a:b])):
+                yield a, b, d.category, d.priority, d.bare, m.start()
+    if named:
+        for rule, at, a, b in labels.find(text, named):
+            yield a, b, rule.category, rule.priority, False, at
+
+
+def scan(text: str, categories: frozenset[str] | None = None, terms: Iterable[str] = (), some: Iterable[tuple[Detector, re.Pattern]] | None = None, named: bool = True) -> list[Match]:
+    """The resolved matches of one text. ``some`` and ``named``: the detectors, and whether there are labels,
+    that a look over the batch has left."""
+    keep = protected(text, terms)
+    found: list[tuple[int, int, str, int]] = []
+    for a, b, category, priority, bare, label in _candidates(text, shapes(categories) if some is None else some, labels.plan(categories) if named else None):
+        b = a + len(text[a:b].rstrip(" \t\r\n.,;:"))
+        if category == "street_address":
+            b = gates.own_line(text, a, b)
+        value = text[a:b]
+        if gates.is_junk(value) or overlaps(a, b, keep):
+            continue
+        before = gates.line_before(text, a)
+        if category == "payment_handle" and not gates.is_handle(value, text[label:a]):
+            continue
+        if category == "social_handle" and not gates.is_site_handle(value, text[label:a]):
+            continue
+        if category == "license_plate" and not (any(c.isdigit() for c in value) and any(c.isalpha() for c in value)) and priority == 87:
+            continue
+        if gates.wrong_shape(category, value, before) or gates.cut_from_number(text, a, b):
+            continue
+        end = text.find("\n", b)
+        if gates.other_number(category, value, before, text[text.rfind("\n", 0, a) + 1 : end if end >= 0 else len(text)]):
+            continue
+        if category == "credit_card" and len(digits(value)) == 5 and not gates._CUE.search(before):  # 2-5666 is a card's end only after "ending"
+            continue
+        found.append((a, b, "check_number" if bare and ROW_DATES.fullmatch(before) else category, priority))
+    return resolve(_settle(text, found))
+
+
+def _settle(text: str, found: list[Match]) -> list[Match]:
+    """Without four-digit ends of cards that open a street, and without phones that are a labelled account's
+    number."""
+    streets = {m[0] for m in found if m[2] == "street_address"}
+    accounts = [m for m in found if m[2] in gates.ACCOUNTS]
+
+    def stays(m: Match) -> bool:
+        if m[2] == "credit_card" and m[0] in streets and m[1] - m[0] == 4:
+            return False
+        if m[2] in ("phone", "fax") and gates._ACCOUNT_LABEL.search(gates.line_before(text, m[0])):
+            return not any(x[0] <= m[0] and m[1] <= x[1] for x in accounts)
+        return True
+
+    return [m for m in found if stays(m)]
 
 
 def _hint(d: Detector) -> str | None:
@@ -151,17 +162,19 @@ def _hint(d: Detector) -> str | None:
     return r"[0-9]" if d.digit else None
 
 
+_MATCH = T.StructType([T.StructField("begin", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("category", T.StringType()), T.StructField("priority", T.IntegerType()), T.StructField("value", T.StringType())])
+_ARROW_MATCH = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("category", pa.string()), ("priority", pa.int32()), ("value", pa.string())]))
+
+
 def scan_units(units: DataFrame, enabled: Iterable[str] | None = None, text_col: str = "text", terms: tuple[str, ...] = ()) -> DataFrame:
     """The units with ``matches``: an array of (begin, end, category, priority, value), resolved.
 
     Offsets are code points. A null text has no matches. ``enabled``: the categories that are looked for.
     """
     wanted = frozenset(enabled) if enabled is not None else None
-    fields = units.schema.fields
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chosen = [x for x in _compiled() if wanted is None or x[0].category in wanted]
-        kind = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("category", pa.string()), ("priority", pa.int32()), ("value", pa.string())]))
+        chosen, named = shapes(wanted), labels.plan(wanted)
         for batch in batches:
             texts = pc.fill_null(batch.column(batch.schema.get_field_index(text_col)), "")
             digit = pc.match_substring_regex(texts, "[0-9]")
@@ -172,19 +185,41 @@ def scan_units(units: DataFrame, enabled: Iterable[str] | None = None, text_col:
                 if d.digit and mask is not None:
                     mask = pc.and_(mask, digit)
                 masks.append([True] * len(texts) if mask is None else mask.to_pylist())
+            labelled = pc.match_substring_regex(texts, named.hint).to_pylist() if named else [False] * len(texts)
             out = []
             for i, text in enumerate(texts.to_pylist()):
                 some = [x for x, m in zip(chosen, masks, strict=True) if m[i]]
-                out.append([{"begin": a, "end": b, "category": c, "priority": p, "value": text[a:b]} for a, b, c, p in (scan(text, some, terms) if some else [])])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, kind)], [*batch.schema.names, "matches"])
+                found = scan(text, wanted, terms, some, labelled[i]) if some or labelled[i] else []
+                out.append([{"begin": a, "end": b, "category": c, "priority": p, "value": text[a:b]} for a, b, c, p in found])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, _ARROW_MATCH)], [*batch.schema.names, "matches"])
 
-    from pyspark.sql import types as T
-
-    match = T.StructType([T.StructField("begin", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("category", T.StringType()), T.StructField("priority", T.IntegerType()), T.StructField("value", T.StringType())])
-    return units.mapInArrow(run, T.StructType([*fields, T.StructField("matches", T.ArrayType(match))]))
+    return units.mapInArrow(run, T.StructType([*units.schema.fields, T.StructField("matches", T.ArrayType(_MATCH))]))
 
 
 def explode_matches(scanned: DataFrame) -> DataFrame:
     """One row for each match, beside the other columns of its unit."""
     rest = [c for c in scanned.columns if c != "matches"]
     return scanned.select(*rest, F.explode("matches").alias("m")).select(*rest, "m.*")
+
+
+def web_addresses(text: str) -> list[tuple[int, int]]:
+    """Spans of web addresses, with a scheme or without; a bare host inside a longer address is none."""
+    full = [m.span() for d, p in shapes(frozenset(("url",))) for m in p.finditer(text)]
+    full = [(a, a + len(text[a:b].rstrip(".,;:"))) for a, b in full]
+    hosts = [m.span() for m in BARE_HOST.finditer(text)]
+    begins = sorted(full)
+    return sorted(full + [h for h in hosts if not any(a <= h[0] < b for a, b in begins[: bisect_right(begins, (h[0], len(text)))][-1:])])
+
+
+def find_web_addresses(units: DataFrame, keys: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
+    """keys, begin, end and value of every web address in a text. A null text holds none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(i, a, b, t[a:b]) for i, t in enumerate(batch.column(text_col).to_pylist()) if t for a, b in web_addresses(t)]
+            at = pa.array([r[0] for r in rows], pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in keys), *(pa.array([r[j] for r in rows], t) for j, t in ((1, pa.int32()), (2, pa.int32()), (3, pa.string())))], [*keys, "begin", "end", "value"])
+
+    some = units.select(*keys, text_col)
+    fields = [f for f in some.schema.fields if f.name in keys]
+    return some.mapInArrow(run, T.StructType([*fields, T.StructField("begin", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("value", T.StringType())]))

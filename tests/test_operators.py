@@ -1,12 +1,12 @@
 from pyspark.sql import functions as F
 
-from palimpsest.operators import categories, context, graph, grouping, literals, metrics, registry, scan, units
+from palimpsest.operators import categories, context, graph, grouping, labels, literals, metrics, registry, scan, units
 from palimpsest.sources.html import to_text
 
 
 def test_categories(spark):
-    assert categories.categories(spark).count() == len(categories.CATEGORIES) == 64
-    assert {d.category for d in scan.DETECTORS} <= set(categories.CATEGORIES)
+    assert categories.categories(spark).count() == len(categories.TAGS) == 64
+    assert {d.category for d in scan.DETECTORS} | {r.category for r in labels.RULES} <= set(categories.TAGS)
 
 
 def test_lines_of_long_and_short_texts(spark):
@@ -144,3 +144,19 @@ def test_known_values_agree_on_both_ways(spark, monkeypatch):
     monkeypatch.setattr(literals, "BROADCAST_VALUES", 0)
     assert sorted((tuple(r) for r in literals.find_values(u, v).collect()), key=str) == listed
     assert (1, "New  York", 5, 13) in listed and not any(r[1] == "York City" for r in listed) and any(r[0] is None or r[0] != r[0] for r in listed)
+
+
+def test_heads_of_long_chains_and_circles(spark):
+    parent = {f"n{i:02d}": f"n{i + 1:02d}" for i in range(40)} | {"n40": None}
+    parent |= {"a": "b", "b": "a", "t": "a", "c": "d", "d": "e", "e": "c", "u": "v", "v": "d", "s": "s", "w": "s", "p": "q", "q": "r", "r": "z", "z": "p"}
+    df = spark.createDataFrame(list(parent.items()), "key string, parent string")
+    want = {}
+    for k in parent:
+        seen, x = [k], k
+        while parent[x] not in (None, x) and parent[x] not in seen:
+            x = parent[x]
+            seen.append(x)
+        ring = seen[seen.index(parent[x]) :] if parent[x] not in (None, x) else []
+        want[k] = k if k in ring else min(ring) if ring else x
+    assert {r.key: r["head"] for r in graph.heads(df).collect()} == want
+    assert graph.heads(df.where("false")).count() == 0
