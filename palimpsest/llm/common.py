@@ -9,12 +9,15 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..storage import save_shared, shared_dir  # noqa: F401  used by the other modules
 
+#: Characters of a text that a model is fitted on, at most; scoring reads whole texts.
+FIT_CHARS = 20_000
 #: Bytes of text that one vectorised step in a Python worker takes at once.
 SLICE_BYTES = 4 << 20
 
@@ -63,6 +66,34 @@ def text_slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLI
             yield batch.slice(start)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores in front as it takes to be no column of ``df``."""
+    held, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in held:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
+def fit_text(col: str) -> Column:
+    """A text to fit a model on: whole, or of a longer one a window that a hash of the text places."""
+    spare = F.greatest(F.length(col) - FIT_CHARS, F.lit(0))
+    return F.substr(F.col(col), (F.pmod(F.xxhash64(col), spare + 1) + 1).cast("int"), F.lit(FIT_CHARS))
+
+
+def content_key(df: DataFrame) -> tuple[Column, Column]:
+    """Two 64-bit hashes of a row's whole content, nulls included. A row has the same key in every
+    scan, however the input is split; a number given in one scan need not be a row's in the next."""
+
+    def hashable(field: T.StructField) -> Column:
+        c = F.col(f"`{field.name}`")
+        return c.cast("string") if "map<" in field.dataType.simpleString() or "variant" in field.dataType.simpleString() else c
+
+    parts = [x for f in df.schema for x in (F.col(f"`{f.name}`").isNull(), hashable(f))]
+    return F.xxhash64(*parts), F.xxhash64(F.lit("second"), *parts)
+
+
 def gapless_rank(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, cell_rows: int = 1024) -> DataFrame:
     """Add ``name``: a rank from 0 without gaps among the rows of equal ``keys``.
 

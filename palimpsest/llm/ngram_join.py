@@ -24,7 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from .common import giving_back, save_shared, text_slices
+from ..storage import drop_shared
+from .common import content_key, fresh, giving_back, save_shared, text_slices
 from .words import Words, split
 
 WORDS, THRESHOLD = 5, "0.8"
@@ -40,7 +41,7 @@ SMALL = 32
 CHUNK_LEAST, CHUNK_MOST, CHUNK_BYTES = 1024, 8192, 16 << 20
 #: Documents of a block that meet another block at once.
 BLOCK = 256
-#: Rows whose removal may be broadcast as 8-byte numbers.
+#: Rows whose removal may be broadcast as two 8-byte numbers.
 BROADCAST_ROWS = 500_000
 #: Bytes of text whose n-grams are hashed at once.
 SLICE = 1 << 20
@@ -127,7 +128,8 @@ def reaches(common, na, nb, threshold: Fraction):
 
 
 def _profiles(documents: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """rid, doc_id, thash, node (a digest of the n-gram set; null without words), size, sig."""
+    """rid, doc_id, thash, k1 and k2 (the row's content key), node (a digest of the n-gram set; null
+    without words), size, sig."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "text", SLICE):
@@ -136,12 +138,14 @@ def _profiles(documents: DataFrame, id_col: str, text_col: str, n: int) -> DataF
             sig = signatures(hashes, at)
             node = [digest(s) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("rid"), batch.column("doc_id"), batch.column("thash"), pa.array(node, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([x.tobytes() for x in sig], pa.binary())],
-                ["rid", "doc_id", "thash", "node", "size", "sig"],
+                [*(batch.column(c) for c in kept), pa.array(node, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([x.tobytes() for x in sig], pa.binary())],
+                [*kept, "node", "size", "sig"],
             )
 
-    rows = documents.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("thash"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(giving_back(run), "rid long, doc_id long, thash long, node binary, size long, sig binary")
+    kept = ["rid", "doc_id", "thash", "k1", "k2"]
+    k1, k2 = content_key(documents)
+    rows = documents.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("thash"), k1.alias("k1"), k2.alias("k2"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(giving_back(run), "rid long, doc_id long, thash long, k1 long, k2 long, node binary, size long, sig binary")
 
 
 def digest(s: np.ndarray) -> bytes:
@@ -278,7 +282,7 @@ def _chunk_pair(pdf: pd.DataFrame, threshold: Fraction, least: dict[int, int]) -
 
 
 def join(documents: DataFrame, threshold: str = THRESHOLD, n: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every row's class and links: rid (its number in the scan), doc_id, class_id, copy_id, n_links.
+    """Every row's class and links: rid (its number in this scan), doc_id, its content key, class_id, copy_id, n_links.
 
     ``copy_id`` is the least id of the rows with the same n-gram set, ``class_id`` the least id that
     links lead to, ``n_links`` the number of other rows at or over the threshold, copies included.
@@ -304,12 +308,14 @@ def join(documents: DataFrame, threshold: str = THRESHOLD, n: int = WORDS, id_co
     of = lambda x: near.select(F.col("node").alias(x), F.col("component").alias(f"n{x}"))
     pairs = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where("na is null or nb is null or na <> nb").select("a", "b")
     met = kinds.join(members.select("nid").distinct(), "nid", "left_semi")
-    pairs = save_shared(_pruned(pairs, save_shared(met.select("nid", "sig"), "met"), t), "pairs")
+    met = save_shared(met.select("nid", "sig"), "met")
+    pairs = save_shared(_pruned(pairs, met, t), "pairs")
 
     wanted = pairs.select(F.col("a").alias("nid")).unionByName(pairs.select(F.col("b").alias("nid"))).unionByName(near.select(F.col("node").alias("nid"))).distinct()
     sets = save_shared(_gram_sets(documents, kinds.join(wanted, "nid", "left_semi"), id_col, text_col, n), "grams")
     links = save_shared(_verified(pairs, sets, t), "links")
     inner = save_shared(_neighbourhood_links(sets, near, t), "inner-links")
+    drop_shared(members, near, met, pairs, sets)  # what follows reads rows, kinds and the links alone
 
     edges = links.select("a", "b").unionByName(inner.where("a <> b").select("a", "b"))
     comps = components(edges)
@@ -320,11 +326,11 @@ def join(documents: DataFrame, threshold: str = THRESHOLD, n: int = WORDS, id_co
     info = info.join(heads, "component", "left").select(
         F.col("node").alias("__node"), F.col("rep_doc").alias("copy_id"), F.coalesce("component", "nid").alias("class"), F.when(F.col("component").isNull(), F.col("rep_doc")).otherwise(F.col("head")).alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
     )
-    out = rows.select("rid", "doc_id", "node").join(info, F.col("node") == F.col("__node"), "left")
-    own = F.col("__node").isNull()
-    return out.select(
-        "rid", "doc_id", F.when(own, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(own, F.col("doc_id")).otherwise(F.col("copy_id")).alias("copy_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(own, -1 - F.col("rid")).otherwise(F.col("class")).alias("class"),
-    )
+    own = ["rid", "doc_id", "k1", "k2"]
+    out = worded.select(*own, "node").join(info, F.col("node") == F.col("__node")).select(*own, "class_id", "copy_id", F.col("n_links").cast("long").alias("n_links"), "class")
+    # rows without words have no key to be joined by and are classes of their own
+    none = rows.where(F.col("node").isNull()).select(*own, F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_id"), F.lit(0).cast("long").alias("n_links"), (-1 - F.col("rid")).alias("class"))
+    return out.unionByName(none)
 
 
 def _neighbourhood_links(sets: DataFrame, near: DataFrame, threshold: Fraction) -> DataFrame:
@@ -345,12 +351,25 @@ def _neighbourhood_links(sets: DataFrame, near: DataFrame, threshold: Fraction)
 
 
 def deduplicate(documents: DataFrame, threshold: str = THRESHOLD, n: int = WORDS) -> DataFrame:
-    """One row of each class, the one with the least id (then the first in the scan), in the columns
-    of the input. Rows without words stay."""
-    found = save_shared(join(documents, threshold, n).select("rid", "doc_id", "class"), "classes")
-    head = found.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("h"), F.count(F.lit(1)).alias("k")).where("k > 1").select("class", F.col("h.rid").alias("first"))
-    gone = save_shared(found.join(head, "class").where("rid <> first").select(F.col("rid").alias("__gone")), "duplicates")
-    if gone.count() <= BROADCAST_ROWS:
-        gone = F.broadcast(gone)
-    rows = documents.withColumn("__rid", F.monotonically_increasing_id())
-    return rows.join(gone, F.col("__rid") == F.col("__gone"), "left_anti").drop("__rid")
+    """One row of each class, the one with the least id, in the columns of the input. Rows without words stay.
+
+    Rows are told apart by their content, which holds however the input is split or read again; of
+    rows that are alike in every column one stays."""
+    found = save_shared(join(documents, threshold, n).select("class", "doc_id", "k1", "k2"), "classes")
+    alike = found.groupBy("class", "doc_id", "k1", "k2").agg(F.count(F.lit(1)).alias("same"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "k1", "k2")).alias("h")
+    heads = found.groupBy("class").agg(first, F.count(F.lit(1)).alias("rows")).where("rows > 1").select("class", F.col("h.k1").alias("h1"), F.col("h.k2").alias("h2"))
+    k1, k2, b1, b2, again = fresh(documents, "k1", "k2", "b1", "b2", "again")
+    head = (F.col("k1") == F.col("h1")) & (F.col("k2") == F.col("h2"))
+    few = heads.count() <= BROADCAST_ROWS
+    marks = alike.join(F.broadcast(heads) if few else heads, "class").where(~head | (F.col("same") > 1)).select(F.col("k1").alias(b1), F.col("k2").alias(b2), head.alias(again))
+    marks = save_shared(marks, "duplicates")
+    n_again = marks.where(again).count()
+    side = lambda m: F.broadcast(m) if m.count() <= BROADCAST_ROWS else m
+    h1, h2 = content_key(documents)
+    rows = documents.withColumns({k1: h1, k2: h2})
+    same = (F.col(k1) == F.col(b1)) & (F.col(k2) == F.col(b2))
+    kept = rows.join(side(marks), same, "left_anti").drop(k1, k2)
+    if not n_again:
+        return kept
+    return kept.unionByName(rows.join(side(marks.where(again)), same, "left_semi").dropDuplicates([k1, k2]).drop(k1, k2))

@@ -112,3 +112,41 @@ def test_decontaminate(spark, odd):
     assert cut[1] == "The again and again." and cut[2] is None and cut[4].startswith("word0 word1 word2 word3 word4 word8 ")
     empty = bench.where("false")
     assert decontamination.contamination(odd, empty).where("contaminated").count() == 0 and decontamination.decontaminate(odd.where("false"), bench).count() == 0
+
+
+def test_removal_holds_when_the_input_splits_anew(spark, sf_dir, tmp_path):
+    """The input is cut into other partitions between the call and the read of the result."""
+    whole = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    path = str(tmp_path / "docs")
+    whole.repartition(8, "source", "doc_id").write.parquet(path)
+    bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    heads = {r.class_id for r in ngram_join.join(whole).collect()}
+    bad = {r.doc_id for r in decontamination.contamination(whole, bench).where("contaminated").collect()}
+    ids = {r.doc_id for r in whole.collect()}
+    assert bad and len(heads) < len(ids)
+    was = {k: spark.conf.get(k) for k in ("spark.sql.files.minPartitionNum", "spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes") if spark.conf.get(k, None)}
+    docs = spark.read.parquet(path)
+    results = ngram_join.deduplicate(docs), decontamination.decontaminate(docs, bench)
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+        again = [{r.doc_id for r in x.collect()} for x in results]
+        fresh = spark.read.parquet(path)
+        moved = [{r.doc_id for r in x.collect()} for x in (ngram_join.deduplicate(fresh.repartition(17, "text")), decontamination.decontaminate(fresh.repartition(5, "lang"), bench))]
+    finally:
+        for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"):
+            spark.conf.set(k, was[k]) if k in was else spark.conf.unset(k)
+    assert again == moved == [heads, ids - bad]
+
+
+def test_rows_alike_in_every_column(spark):
+    text = "one two three four five six seven eight"
+    rows = [(1, text, None, 7), (1, text, None, 7), (1, text, "x", 7), (2, text, None, 7), (3, None, None, 1), (3, None, None, 1), (4, "other words that stand here alone", None, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, k1 string, again int")
+    out = ngram_join.deduplicate(docs)
+    assert out.columns == docs.columns
+    assert sorted((r.doc_id, r.text is None) for r in out.collect()) == [(1, False), (3, True), (3, True), (4, False)]
+    bench = spark.createDataFrame([(9, "three four five")], "item_id long, text string")
+    assert sorted(r.doc_id for r in decontamination.decontaminate(docs, bench).collect()) == [3, 3, 4]
+    cut = [(r.doc_id, r.text) for r in decontamination.decontaminate(docs, bench, mode="spans").collect()]
+    assert sorted(cut, key=str) == sorted([(1, "one two six seven eight")] * 3 + [(2, "one two six seven eight"), (3, None), (3, None), (4, rows[-1][1])], key=str)
