@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import gapless_rank, giving_back, save_shared, text_slices
-from .tokens import encoder
+from .tokens import SLICE, encoder
 
 WINDOW = 2048
 #: Bits of a rank among the pieces of one length.
@@ -134,7 +134,7 @@ def cut_documents(df: DataFrame, vocabulary: str, end_id: int = 1, window: int =
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary, attached=False)
-        for batch in text_slices(batches, "text"):
+        for batch in text_slices(batches, "text", SLICE):
             ids, lengths = encode(batch.column("text"))
             octets = np.insert(ids, np.cumsum(lengths), end_id).astype("<u4").tobytes()
             lengths = lengths + 1

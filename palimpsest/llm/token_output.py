@@ -22,8 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..storage import partitions_for
 from .common import giving_back, save_shared, text_slices
-from .tokens import encoder
+from .tokens import SLICE, encoder
 
 #: Ids that are transposed at once.
 BLOCK_IDS = 65536
@@ -120,7 +121,7 @@ def encode_documents(df: DataFrame, vocabulary: str, end_id: int = 0, bits: bool
         def close():
             return pa.RecordBatch.from_pylist([{"part": part, "seq": seq, "n_ids": n, "doc_ids": docs, "doc_tokens": tokens, "content": write_segment(np.concatenate(held), bits)}], schema=_SEGMENTS)
 
-        for batch in text_slices(batches, "text"):
+        for batch in text_slices(batches, "text", SLICE):
             ids, lengths = encode(batch.column("text"))
             ids = np.insert(ids, np.cumsum(lengths), end_id)
             cut = np.concatenate([[0], np.cumsum(lengths + 1)])
@@ -136,8 +137,7 @@ def encode_documents(df: DataFrame, vocabulary: str, end_id: int = 0, bits: bool
             yield close()
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = rows.repartitionByRange(partitions_for(rows), "doc_id").sortWithinPartitions("doc_id", "text")
     return save_shared(rows.mapInArrow(giving_back(pack), SEGMENTS), "segments")
 
 
