@@ -18,13 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import giving_back, release_memory, text_slices
+from .common import fit_text, giving_back, release_memory, text_slices
 from .words import Words, split
 
-#: Documents of each language that the model is fitted on, about.
-SAMPLE_PER_LANGUAGE = 300
-#: Languages with the most documents that are learned, at most.
-MOST_LANGUAGES = 64
+#: Documents of each language that the model is fitted on, about; of all together, about; and of each
+#: where languages are very many.
+SAMPLE_PER_LANGUAGE, SAMPLE, SAMPLE_LEAST = 300, 20_000, 10
+#: Languages up to which their counts are broadcast; a row takes some 50 bytes.
+BROADCAST_LANGUAGES = 100_000
 BITS, NGRAMS, AFFIXES = 16, (2, 3), (1, 2, 3)
 #: Training sequences, their words, and passes over them.
 SEQUENCES, LENGTH, EPOCHS, BATCH, RATE, DECAY = 3000, 24, 4, 100, 0.3, 1e-4
@@ -207,18 +208,21 @@ def _pairs(psi: np.ndarray, trans: np.ndarray, n: int) -> np.ndarray:
 
 
 def fit(documents: DataFrame) -> Model:
-    """A model from documents with a language whose crc32(doc_id) mod 5 is not 0: the first
-    SAMPLE_PER_LANGUAGE of each language by a hash of the id, about."""
+    """A model of every language that a document whose crc32(doc_id) mod 5 is not 0 has: from the first
+    SAMPLE_PER_LANGUAGE documents of each by a hash of the id, about; where languages are many, from fewer
+    of each. Of texts of over FIT_CHARS characters a window of as many is learned from, which a hash of the
+    text places; of rows with one id the first by text."""
     usable = documents.select("doc_id", "text", "lang").where("doc_id is not null and text is not null and lang is not null and crc32(encode(cast(doc_id as string), 'UTF-8')) % 5 != 0")
-    counts = dict(usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect())
-    if not counts:
+    counts = usable.groupBy(F.col("lang").alias("__lang")).agg(F.count(F.lit(1)).alias("__n"))
+    n = counts.count()
+    if not n:
         return fit_texts([], [])
+    each = min(SAMPLE_PER_LANGUAGE, max(SAMPLE_LEAST, SAMPLE // n))
+    counts = F.broadcast(counts) if n <= BROADCAST_LANGUAGES else counts
     share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    chosen = None
-    for lang, n in counts.items():
-        here = (F.col("lang") == lang) & (share < SAMPLE_PER_LANGUAGE / n)
-        chosen = here if chosen is None else chosen | here
-    got = usable.where(chosen).dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id", ignore_index=True)
+    some = usable.join(counts, F.col("lang") == F.col("__lang")).where(share < each / F.col("__n"))
+    some = some.groupBy("doc_id").agg(F.min(F.struct(fit_text("text").alias("text"), "lang")).alias("t")).select("doc_id", "t.*")
+    got = some.toPandas().sort_values("doc_id", ignore_index=True)
     langs = got["lang"].tolist()
     model = fit_texts(got.pop("text").tolist(), langs)
     release_memory()

@@ -65,6 +65,67 @@ def test_toxic_texts_are_found(sf_dir):
     assert len(toxicity.scores(model, pa.array([None, "", " "]))) == 3
 
 
+def auc(score, y):
+    return np.mean([(a > b) + 0.5 * (a == b) for a in score[y == 1] for b in score[y == 0]])
+
+
+def test_training_teaches_the_network(sf_dir, monkeypatch):
+    """From random embeddings: without training it knows nothing, with it most toxic texts."""
+    rows = [r for r in documents(sf_dir.replace("0.001", "0.1")) if r[3] is not None and r[1]]
+    train, test = [r for r in rows if not held(r[0])], [r for r in rows if held(r[0])]
+    fitted = {}
+    for epochs in (0, toxicity.EPOCHS):
+        monkeypatch.setattr(toxicity, "EPOCHS", epochs)
+        model = toxicity.fit_texts([r[1] for r in train], np.array([r[3] for r in train]), [r[2] for r in train])
+        fitted[epochs] = toxicity.scores(model, pa.array([r[1] for r in test]))
+    y = np.array([r[3] for r in test])
+    before, after = fitted.values()
+    assert auc(before, y) < 0.65 and auc(after, y) > 0.95
+    assert ((after >= 0.5) == y).mean() > 0.97 and (after[y == 1] >= 0.5).mean() > 0.8
+
+
+def test_gradients_equal_differences():
+    rng = np.random.default_rng(3)
+    texts = [" ".join(rng.choice(list("abcdefgh"), rng.integers(0, 9))) for _ in range(12)]
+    model = toxicity.begin(rng)
+    model.embedding = rng.normal(0, 0.5, model.embedding.shape)
+    model.kernels, model.bias, model.weights, model.offset = [k.astype(float) for k in model.kernels], rng.normal(0, 0.3, len(model.bias)), model.weights.astype(float), np.array([0.2])
+    w = toxicity.split(pa.array(texts))
+    feats, batch, y, weight = toxicity.buckets(w), np.arange(12), np.arange(12) % 2, rng.random(12) + 0.5
+    loss, rows, grads = toxicity.gradients(model, w, feats, batch, y, weight)
+    step = 1e-6
+    for param, grad, index in ((model.embedding, grads[0], rows), *((k, g, None) for k, g in zip(model.kernels, grads[1:4], strict=True)), (model.bias, grads[4], None), (model.weights, grads[5], None), (model.offset, grads[6], None)):
+        for _ in range(12):
+            at = tuple(rng.integers(n) for n in grad.shape)
+            where = at if index is None else (index[at[0]], at[1])
+            was = param[where]
+            param[where] = was + step
+            more = toxicity.gradients(model, w, feats, batch, y, weight)[0]
+            param[where] = was - step
+            less = toxicity.gradients(model, w, feats, batch, y, weight)[0]
+            param[where] = was
+            assert abs((more - less) / (2 * step) - grad[at]) < 1e-4
+
+
+def test_threshold_with_the_fewest_errors():
+    rng = np.random.default_rng(6)
+    for _ in range(50):
+        z, y, v = rng.integers(0, 8, 30).astype(float), rng.integers(0, 2, 30), rng.random(30)
+        cut = toxicity.fewest_errors(z, y, v)
+        errors = lambda c: (v * ((z >= c) != y)).sum()
+        assert errors(cut) <= min(errors(c) for c in np.arange(-0.5, 9)) + 1e-9
+
+
+def test_platt_finds_the_odds():
+    rng = np.random.default_rng(4)
+    z = rng.normal(0, 3, 20000)
+    y = (rng.random(20000) < 1 / (1 + np.exp(-0.7 * (z - 1.5)))).astype(int)
+    shift, scale = toxicity.platt(z, y, np.ones(20000))
+    assert abs(shift - 1.5) < 0.15 and abs(scale - 0.7) < 0.05
+    shift, scale = toxicity.platt(np.array([-2.0, -1, 1, 2]), np.array([0, 0, 1, 1]), np.ones(4))
+    assert -1 < shift < 1 and np.isfinite(scale)
+
+
 def test_convolution_equals_loop():
     rng = np.random.default_rng(1)
     texts = [" ".join(rng.choice(list("abcdefg"), rng.integers(0, 9))) for _ in range(40)]
@@ -84,7 +145,8 @@ def test_classifiers_on_odd_rows(spark, odd):
     labels = spark.createDataFrame([(1, 1), (4, 0), (None, 1), (6, None), (8, 1), (8, 0)], "doc_id long, toxic int")
     assert toxicity.score_documents(odd, toxicity.fit(odd, labels)).count() == odd.count()
     model = toxicity.fit(odd.where("false"), labels.where("false"))
-    assert toxicity.score_documents(odd, model, keep=True).columns == [*odd.columns, "__toxic_score", "__toxic"]
+    assert toxicity.drop_toxic(odd.withColumnRenamed("shard", "score"), model).columns == [*odd.columns[:-1], "score"]
+    assert toxicity.score_documents(odd.where("false"), model).count() == 0
     assert language_id.identify(odd, language_id.fit(odd)).count() == odd.count()
     assert {r.lang_pred for r in language_id.identify(odd, language_id.fit(odd.where("false"))).collect()} == {"und"}
     assert secrets.scan_documents(odd, secrets.fit(odd)).count() == odd.count()
@@ -132,3 +194,79 @@ def test_keys_of_letters_alone_are_found():
     assert secrets.candidates(text) == [(11, 31)] and secrets.candidates("short words, 123456789012 and ------------") == []
     model = secrets.fit_texts(["token = abcdef0123456789 and more", "plain words only"])
     assert secrets.find_learned(model, [text], [secrets.find_base(text)]) == [[(11, 31)]]
+
+
+def unseen(rng):
+    """Keys of shapes that the training invents none of."""
+    pick = lambda chars, n: "".join(rng.choice(list(chars), n))
+    upper, lower, num = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    shapes = ("AIza" + pick(upper + lower + num + "_-", 35), "SG." + pick(upper + lower + num, 22) + "." + pick(upper + lower + num, 43), "-".join(pick("0123456789abcdef", n) for n in (8, 4, 4, 4, 12)), "-".join(pick(upper + num, 5) for _ in range(5)), pick(upper + "234567", 32), "npm_" + pick(upper + lower + num, 36), "v1:" + pick(num + lower, 40))
+    value = shapes[rng.integers(len(shapes))]
+    return f"use {value} for it", 4, 4 + len(value)
+
+
+def test_keys_of_unseen_shapes_are_found(sf_dir):
+    texts = [r[1] for r in documents(sf_dir)]
+    model = secrets.fit_texts(texts)
+    assert model.recall >= secrets.RECALL
+    rng = np.random.default_rng(77)
+    hits = 0
+    for _ in range(300):
+        text, a, b = unseen(rng)
+        hits += bool(secrets.find_learned(model, [text], [secrets.find_base(text)])[0] or any(secrets.find_base(text).values()))
+    assert hits / 300 > 0.8
+
+
+def test_clean_words_are_left_alone(sf_dir):
+    texts = [r[1] for r in documents(sf_dir)]
+    model = secrets.fit_texts(texts[:600])
+    clean = [t for t in texts[600:] if t and not any(secrets.find_base(t).values())]
+    found = sum(map(len, secrets.find_learned(model, clean, [secrets.find_base(t) for t in clean])))
+    assert found < 0.25 * sum(len(secrets.candidates(t)) for t in clean)
+
+
+def test_secret_gradients_equal_differences():
+    rng = np.random.default_rng(8)
+    model = secrets.begin(rng)
+    model.bias, model.offset = rng.normal(0, 0.3, len(model.bias)), np.array([0.1])
+    codes, y, weight = rng.integers(0, len(secrets.ALPHABET) + 1, (6, secrets.WINDOW)), np.arange(6) % 2, rng.random(6) + 0.5
+    grads = secrets.gradients(model, codes, y, weight)[1]
+    for param, grad in zip([model.embedding, *model.kernels, model.bias, model.weights, model.offset], grads, strict=True):
+        for _ in range(12):
+            at = tuple(rng.integers(n) for n in grad.shape)
+            was, side = param[at], []
+            for step in (1e-6, -1e-6):
+                param[at] = was + step
+                side.append(secrets.gradients(model, codes, y, weight)[0])
+            param[at] = was
+            assert abs((side[0] - side[1]) / 2e-6 - grad[at]) < 1e-4
+
+
+def test_a_long_candidate_is_learned_from_and_scored_whole():
+    """Only the end of a long candidate tells that it is a key: every window of it is read."""
+    text = "x " + "a" * 200 + "Zq81Kd93Lm20Xp47Vb65" + " y"
+    (a, b), = secrets.candidates(text)
+    assert "Zq81Kd93Lm20Xp47Vb65" in " ".join(secrets.windows(text, a, b))
+
+
+def test_every_language_is_learned(spark):
+    """More languages than any fixed number would hold, each told by its own words."""
+    rng = np.random.default_rng(2)
+    rows = []
+    for k in range(70):
+        words = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(12)]
+        rows += [(1000 * k + i, " ".join(rng.choice(words, 20)), f"l{k:02d}") for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(docs)
+    assert len(model.names) == 70
+    got = {r.doc_id: r.lang_pred for r in language_id.identify(docs, model).collect()}
+    test = [r for r in rows if held(r[0])]
+    assert np.mean([got[r[0]] == r[2] for r in test]) > 0.9
+
+
+def test_the_sample_does_not_hang_on_the_order_of_rows(spark, odd):
+    labels = spark.createDataFrame([(1, 1), (4, 0), (6, 0), (8, 1)], "doc_id long, toxic int")
+    twice = odd.unionByName(odd.selectExpr("doc_id", "concat(text, ' more words') as text", "lang", "source", "shard"))
+    for fit in (language_id.fit, lambda d: toxicity.fit(d, labels), secrets.fit):
+        a, b = fit(twice), fit(twice.repartition(7, "text").orderBy("text"))
+        assert all(np.array_equal(np.asarray(getattr(a, k)), np.asarray(getattr(b, k))) for k in vars(a) if k != "kernels")
