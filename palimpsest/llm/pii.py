@@ -1,11 +1,12 @@
 """Personal data with offset-preserving deobfuscation.
 
-Identifiers are found in the text as it is. Texts that hold disguises are then rewritten by three
-transducers: look-alike letters, digits and signs become plain ones; spelled digits become digits,
-alone or among plain ones; "at" and "dot" in brackets, between names or between numbers and "plus"
-before a number become signs. Each keeps for every character where its source begins and ends, so
-what is found in the rewritten text maps back to the source. Whether digits are an identifier is
-left to its own length and check digit.
+Identifiers are found in the text as it is. Texts that hold disguises are then rewritten by
+transducers: look-alike letters, digits and signs become plain ones, letters among digits too; spelled
+digits become digits, alone or among plain ones; "at" and "dot" in brackets, between names, joined to
+them or between numbers and "plus" before a number become signs; signs lose the spaces around them.
+Each keeps for every character where its source begins and ends, so what is found in the rewritten
+text maps back to the source. Whether digits are an identifier is left to its own length and check
+digit.
 """
 
 from __future__ import annotations
@@ -111,6 +112,9 @@ _SPELLED_RUN = re.compile(rf"(?<![\w@]){_NUMBER}(?:{_NEAR}{_NUMBER})*(?![\w@])",
 _MIXED = re.compile(rf"(?<![\w@])(?P<sign>plus[\s,.(-]{{1,3}}|\+[\s,.(-]{{0,3}})?(?:{_NUMBER}|[0-9]+)(?:[\s,.()-]{{1,4}}(?:{_NUMBER}|[0-9]+))*(?![\w@])", re.IGNORECASE)
 _TOKEN = re.compile(r"[^\W\d_]+|[0-9]+")
 _PLUS = re.compile(r"(?<![\w@])(?<![0-9]\s)plus[\s,.-]{1,3}(?=\(?[0-9])", re.IGNORECASE)
+#: Letters that are read for digits.
+_MISTAKEN = {"O": "0", "o": "0", "l": "1", "I": "1"}
+_MISTAKEN_TO = str.maketrans(_MISTAKEN)
 #: Letters that the patterns take for i, s and k when they ignore case.
 _FOLD = str.maketrans("İıſK", "iisk")
 _AT = r"(?:at|arroba|ät)"
@@ -119,6 +123,20 @@ _BRACKETED_AT = re.compile(rf"\s*[\[({{<]\s*(?:{_AT}|@)\s*[\])}}>]\s*", re.IGNOR
 _BRACKETED_DOT = re.compile(rf"\s*[\[({{<]\s*(?:{_DOT}|\.)\s*[\])}}>]\s*", re.IGNORECASE)
 #: Bare words count only together: name at name dot name.
 _BARE = re.compile(rf"(?<![\w@])[\w.+-]+(?P<at>\s+{_AT}\s+|@)[\w-]+(?:\s+{_DOT}\s+[\w-]+)+(?!\w)", re.IGNORECASE)
+#: A name at a written-out host; names joined to their signs by hyphens or underscores; spaced signs.
+_AT_HOST = re.compile(rf"(?<![\w@.-])(?P<name>[\w.+-]*\w)(?P<at>\s+{_AT}\s+)[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{{2,24}}(?![\w@])", re.IGNORECASE)
+_JOINED = re.compile(rf"(?<![\w@.-])[A-Z0-9.+]+(?P<at>[_-]{_AT}[_-])[A-Z0-9]+(?:[_.-][A-Z0-9]+)*?(?:[_-]{_DOT}[_-][A-Z0-9]+)+(?![\w@-])", re.IGNORECASE)
+_JOINED_DOT = re.compile(rf"[_-]{_DOT}[_-]", re.IGNORECASE)
+_SPACED_AT = re.compile(r"(?<=[\w])\s{1,3}@\s{1,3}(?=[\w-]+\.[^\W\d_]{2})|(?<=\w)[\[({]a[\])}](?=\w)", re.IGNORECASE)
+_SPACED_STOP = re.compile(r"(?<=[0-9])\s\.\s(?=[0-9])")
+#: Digits and letters that look like some, with what may stand between; fours with other signs between.
+_MISREAD = re.compile(r"(?<![\w+])\+?[0-9OolI](?:[ .()-]{0,2}[0-9OolI]){6,}(?![\w])")
+_ODD_FOURS = re.compile(r"(?<![\w.])[0-9]{4}(?P<sign>[._/·])[0-9]{4}(?P=sign)[0-9]{4}(?P=sign)[0-9]{1,7}(?![\w.])")
+#: Words before "at" and a host that make prose: "available at example.com".
+_NO_NAME = frozenset(
+    "all and are available be been blog buy chat code come contact details directly docs documentation download everyone find found get go here him her hosted info information is it join live look me meet more "
+    "now online or order out page people please posted published read register registered see shop sign site sold start store stuff team that them there this today try up us visit was website were work working works you".split()
+)
 _BARE_DOT = re.compile(rf"\s+{_DOT}\s+", re.IGNORECASE)
 _NUMBER_DOT = re.compile(rf"(?<=[0-9])\s*(?<![^\W\d_]){_DOT}\s*(?=[0-9])", re.IGNORECASE)
 _END = re.compile(r"[^\W\d_]{2,}|xn--[\w-]+", re.IGNORECASE)
@@ -130,7 +148,8 @@ _HOST_ENDS = frozenset("com org net edu gov io info biz eu de fr es uk us ca ch
 #: beside a plain digit, "plus" before a digit, a sign in brackets, a lone "dot", or a look-alike.
 HINT = "(?i:" + "|".join(
     [_NEAR.join([_NUMBER] * 4), rf"[0-9][\s,.()-]{{1,4}}{_NUMBER}\b", rf"\b{_NUMBER}[\s,.()-]{{1,4}}[0-9]", r"\bplus[\s,.-]{1,3}\(?[0-9]",
-     rf"[\[({{<]\s*(?:{_AT}|{_DOT}|@|\.)\s*[\])}}>]", rf"\s{_DOT}\s", rf"[0-9]\s*{_DOT}\s*[0-9]"]
+     rf"[\[({{<]\s*(?:{_AT}|{_DOT}|@|\.)\s*[\])}}>]", rf"\s{_DOT}\s", rf"[0-9]\s*{_DOT}\s*[0-9]", rf"[_-]{_DOT}[_-]", rf"\s{_AT}\s+[\w-]+\.\w\w", r"\s@\s", r"\w[\[({]a[\])}]\w",
+     r"[0-9]\s\.\s[0-9]", r"[0-9][ .()-]{0,2}[ol][0-9 .()-]", r"[ol][ .()-]{0,2}[0-9]{2}", r"[0-9 .-]i[0-9]", r"[0-9]{4}[._/·][0-9]{4}[._/·][0-9]{4}"]
 ) + ")|[" + "".join(f"\\x{{{ord(c):x}}}" for c in LOOKALIKES) + "]"
 
 
@@ -198,6 +217,49 @@ def _spelled_edits(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+def _misread_edits(text: str) -> list[tuple[int, int, str]]:
+    """Letters among digits become digits where the run as a whole is then an address, a card or a phone."""
+    out = []
+    for m in _MISREAD.finditer(text):
+        run = m[0]
+        letters = [i for i, c in enumerate(run) if c in _MISTAKEN]
+        if not letters or 3 * len(letters) >= 2 * sum(c.isdigit() for c in run):
+            continue
+        found = find_base(run.translate(_MISTAKEN_TO))
+        if any((0, len(run)) in spans for spans in found.values()):
+            out += [(m.start() + i, m.start() + i + 1, _MISTAKEN[run[i]]) for i in letters]
+    return out
+
+
+def _four_edits(text: str) -> list[tuple[int, int, str]]:
+    """Signs between the fours of a card that has right check digits become hyphens."""
+    out = []
+    for m in _ODD_FOURS.finditer(text):
+        digits = re.sub(r"[^0-9]", "", m[0])
+        if 13 <= len(digits) <= 19 and luhn(digits):
+            out += [(m.start() + i, m.start() + i + 1, "-") for i in (4, 9, 14)]
+    return out
+
+
+def _at_edits(text: str) -> list[tuple[int, int, str]]:
+    """Signs of names that stand before a written-out host, or are joined to their signs."""
+    out = []
+    for m in _AT_HOST.finditer(text):
+        name = m["name"].lower()
+        if name not in _NO_NAME and name not in _PROSE:
+            out.append((*m.span("at"), "@"))
+    for m in _JOINED.finditer(text):
+        out.append((*m.span("at"), "@"))
+        out += [(*d.span(), ".") for d in _JOINED_DOT.finditer(text, m.end("at"), m.end())]
+    out += [(*m.span(), "@") for m in _SPACED_AT.finditer(text)] + [(*m.span(), ".") for m in _SPACED_STOP.finditer(text)]
+    apart, last = [], 0
+    for a, b, new in sorted(out):
+        if a >= last:
+            apart.append((a, b, new))
+            last = b
+    return apart
+
+
 def _plus_edits(text: str) -> list[tuple[int, int, str]]:
     out = []
     for m in _PLUS.finditer(text):
@@ -222,6 +284,8 @@ def deobfuscate(text: str) -> Mapped:
     plain = Mapped.plain(text)
     if not text.isascii():
         plain = plain.rewrite([(m.start(), m.end(), LOOKALIKES[m[0]]) for m in _LOOKALIKE.finditer(text)])
+    plain = plain.rewrite(_misread_edits(plain.text))
+    plain = plain.rewrite(_four_edits(plain.text))
     plain = plain.rewrite(_spelled_edits(plain.text))
     plain = plain.rewrite([(*m.span(), "@") for m in _BRACKETED_AT.finditer(plain.text)])
     plain = plain.rewrite([(*m.span(), ".") for m in _BRACKETED_DOT.finditer(plain.text)])
@@ -232,6 +296,7 @@ def deobfuscate(text: str) -> Mapped:
             edits += [(*at, "@")] if plain.text[slice(*at)] != "@" else []
             edits += [(*d.span(), ".") for d in _BARE_DOT.finditer(plain.text, after, m.end())]
     plain = plain.rewrite(edits)
+    plain = plain.rewrite(_at_edits(plain.text))
     plain = plain.rewrite([(*m.span(), ".") for m in _NUMBER_DOT.finditer(plain.text)])
     return plain.rewrite(_plus_edits(plain.text))
 

@@ -95,3 +95,63 @@ def test_prose_beside_numbers_is_kept():
     assert pii.redact("one 4111 1111 1111 1111 x") == "one [CARD] x"
     for t in ("He was at breaking point when it broke", "at this point in time", "5 plus 3000000000", "plus 1,000,000,000 more", "3 point 5 or one, 2, three", "ſix 5 sİx"):
         assert not any(pii.find(t)[1].values()), t
+
+
+WORDS = "zero one two three four five six seven eight nine".split()
+ENDS = ["com", "org", "net", "de", "io", "com.au", "museum"]
+
+
+def plant(rng, kind):
+    """A random identifier of a kind."""
+    if kind == "email":
+        return "".join(rng.choice("abcdefghijkmnpqrstuvwxyz") for _ in range(rng.randint(5, 9))) + "@" + "".join(rng.choice("bcdfghjkmnpqrstvwxyz") for _ in range(rng.randint(4, 8))) + "." + rng.choice(ENDS)
+    if kind == "ip":
+        return ".".join(str(rng.randint(0, 255)) for _ in range(4))
+    if kind == "phone":
+        return "+" + str(rng.randint(10**10, 10**11 - 1))
+    body = "4" + "".join(rng.choice("0123456789") for _ in range(14))
+    return next(body + str(d) for d in range(10) if pii.luhn(body + str(d)))
+
+
+def fours(x):
+    return [x[i : i + 4] for i in range(0, 16, 4)]
+
+
+def spelled(x):
+    return " ".join(WORDS[int(c)] for c in x)
+
+
+DISGUISES = {
+    "brackets": ("email", lambda x: x.replace("@", " (at) ").replace(".", " [dot] ")), "braces": ("email", lambda x: x.replace("@", "{at}").replace(".", "{dot}")),
+    "words": ("email", lambda x: x.replace("@", " at ").replace(".", " dot ")), "capitals": ("email", lambda x: x.replace("@", " AT ").replace(".", " DOT ")),
+    "at": ("email", lambda x: x.replace("@", " at ")), "dot": ("email", lambda x: x.replace(".", " dot ")), "underscores": ("email", lambda x: x.replace("@", "_at_").replace(".", "_dot_")),
+    "hyphens": ("email", lambda x: x.replace("@", "-at-").replace(".", "-dot-")), "spaces": ("email", lambda x: x.replace("@", " @ ")), "letter": ("email", lambda x: x.replace("@", "(a)")),
+    "cyrillic": ("email", lambda x: "".join({"a": "а", "e": "е", "c": "с", "p": "р"}.get(c, c) for c in x[:-4]) + x[-4:] if set("aecp") & set(x[:-4]) else x.replace("@", "＠")),
+    "full width": ("email", lambda x: "".join(chr(ord(c) + 0xFEE0) for c in x)), "zero width": ("email", lambda x: x[:2] + "\u200b" + x[2:]),
+    "ip words": ("ip", lambda x: x.replace(".", " dot ")), "ip brackets": ("ip", lambda x: x.replace(".", "[.]")), "ip spelled": ("ip", lambda x: " dot ".join(map(spelled, x.split(".")))), "ip spaces": ("ip", lambda x: x.replace(".", " . ")),
+    "phone spelled": ("phone", lambda x: "plus " + spelled(x[1:])), "phone mixed": ("phone", lambda x: x[:6] + " " + spelled(x[6:9]) + " " + x[9:]), "phone plus": ("phone", lambda x: "plus " + x[1:]),
+    "phone wide": ("phone", lambda x: "".join(chr(ord(c) + 0xFEE0) if c.isdigit() else c for c in x)), "phone letters": ("phone", lambda x: x[0] + x[1:].replace("0", "O", 1).replace("1", "l", 1) if set("01") & set(x) else x[:1] + " " + x[1:].replace("2", "two ", 1)),
+    "card spelled": ("card", spelled), "card half": ("card", lambda x: " ".join([*fours(x)[:2], spelled(x[8:12]), x[12:]])), "card dots": ("card", lambda x: ".".join(fours(x))), "card slashes": ("card", lambda x: "/".join(fours(x))),
+    "card letters": ("card", lambda x: " ".join(fours(x)).replace("0", "O").replace("1", "l") if 0 < x.count("0") + x.count("1") < 5 else spelled(x)),
+}
+
+
+@pytest.mark.parametrize("name", sorted(DISGUISES))
+def test_planted_disguises_are_found(name):
+    """At least nine of ten random identifiers in each disguise, as one span with the right bounds, and each
+    text passes the automaton over whole batches."""
+    kind, disguise = DISGUISES[name]
+    rng, texts, want = random.Random(name), [], []
+    for _ in range(200):
+        x = disguise(plant(rng, kind))
+        before = rng.choice(["write to ", "see: ", "Kontakt: ", "it was ("])
+        texts.append(f"{before}{x}{rng.choice([', thanks', ' ok', ')', ''])}")
+        want.append((len(before), len(before) + len(x)))
+    hits = sum(span in pii.find(t)[1][kind] + pii.find(t)[0][kind] for t, span in zip(texts, want, strict=True))
+    hints = sum(pii.hinted(pa.array(texts)))
+    assert hits >= 180 and hints >= 180, (hits, hints, [t for t, s in zip(texts, want, strict=True) if s not in pii.find(t)[1][kind]][:3])
+
+
+def test_hosts_in_prose_are_no_addresses():
+    for t in ("It is available at example.com now", "read more at www.example.org", "meet us at shop.example.net", "sold at example.com", "file a_b_c and x-y-z", "version 1 . 2 of it", "Illinois 100 lOl", "pages 10 l 20", "4111.1111.1111.1112 is no card"):
+        assert not any(pii.find(t)[1].values()), t
