@@ -6,6 +6,11 @@ largest bound over the pivots bounds the inner product from above, as
 ``2 <q,v> = |q|^2 + |v|^2 - d(q,v)^2``. Candidates are evaluated in the order of that bound, in
 steps, until the k-th best score is above all bounds that are left. No candidate is dropped that
 the bounds don't exclude, so the answer is exact.
+
+Candidates stay where they are: each task packs its own into blocks of near ones, with the range of
+their distances to each pivot, and a block whose range excludes a query is not opened for it. Queries
+are broadcast, in chunks of a fixed size, with the k-th score that they reach among the vectors that
+the pivots were chosen from; a task carries each query's best from block to block.
 """
 
 from __future__ import annotations
@@ -20,14 +25,16 @@ from pyspark.sql.window import Window
 
 from .common import giving_back, save_shared
 
-#: Vectors in a block of candidates, and of queries.
-CANDIDATE_BLOCK, QUERY_BLOCK = 4096, 256
+#: Vectors in a block of candidates, and their bytes.
+BLOCK, BLOCK_BYTES = 4096, 4 << 20
+#: Bytes of the queries that are broadcast at once.
+QUERY_BYTES = 16 << 20
 #: Pivots, and the vectors that they are chosen from: the first by a hash of the id.
 PIVOTS, PIVOT_SAMPLE = 16, 1024
 #: Candidates of a query that are evaluated between two looks at the bounds.
 STEP = 512
-#: Integers whose sums of products a double holds exactly, up to a few thousand components.
-EXACT_IN_DOUBLE = 1 << 20
+#: Sums up to these are exact as doubles and as 64-bit integers.
+EXACT_IN_DOUBLE, EXACT_IN_LONG = 1 << 53, 1 << 63
 #: Slack for rounding in the bounds, relative to the norms.
 SLACK = 1e-9
 
@@ -57,49 +64,98 @@ def distances(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.stack([np.sqrt(((x - q) ** 2).sum(1)) for q in p], axis=1) if len(p) else np.zeros((len(x), 0))
 
 
-def top_in_block(qid, q, qd, cid, c, cd, k: int):
-    """(query rows, ids, scores) of the k best candidates of every query, in one block."""
-    small = max(np.abs(q).max(), np.abs(c).max()) < EXACT_IN_DOUBLE
-    qx, cx = (q.astype(float), c.astype(float)) if small else (q.astype(object), c.astype(object))
-    qn, cn = (q.astype(float) ** 2).sum(1), (c.astype(float) ** 2).sum(1)
-    rows, ids, scores = [], [], []
-    for i in range(len(q)):
-        low = np.abs(cd - qd[i]).max(axis=1) if cd.shape[1] else np.zeros(len(c))
-        low = np.maximum(0, low - SLACK * (np.sqrt(qn[i]) + np.sqrt(cn) + 1))
-        bound = (qn[i] + cn - low * low) / 2 + SLACK * (qn[i] + cn + 1)
-        order = np.argsort(-bound, kind="stable")
-        best: dict[int, int] = {}
-        kth = None
-        for a in range(0, len(order), STEP):
-            if kth is not None and bound[order[a]] < kth:
-                break
-            at = order[a : a + STEP]
-            got = cx[at] @ qx[i]
-            if kth is not None:
-                keep = got >= kth
-                at, got = at[keep], got[keep]
-            for j, s in zip(at.tolist(), got.tolist(), strict=True):
-                if (v := int(cid[j])) != qid[i] and int(s) > best.get(v, -(1 << 200)):
-                    best[v] = int(s)
-            best = dict(sorted(best.items(), key=lambda x: (-x[1], x[0]))[:k])
-            kth = min(best.values()) if len(best) == k else None
-        rows += [i] * len(best)
-        ids += best.keys()
-        scores += best.values()
-    return rows, ids, scores
-
-
-def _blocks(df: DataFrame, pivots: np.ndarray, dim: int, size: int) -> DataFrame:
-    """Rows of whole blocks: ids, vectors and pivot distances as bytes."""
+class Best:
+    """The best candidates of some queries so far. ``floor``: a score that k candidates reach somewhere, or
+    None; what is below it need not be kept."""
+
+    def __init__(self, ids: np.ndarray, v: np.ndarray, d: np.ndarray, k: int):
+        self.ids, self.v, self.d, self.k = ids, v, d, k
+        self.norm = (v.astype(float) ** 2).sum(1)
+        self.most = int(np.abs(v).max(initial=0))
+        self.found: list[dict[int, int]] = [{} for _ in ids]
+        self.floor: list[int | None] = [None] * len(ids)
+
+    def kind(self, c: np.ndarray) -> type:
+        """The fastest numbers in which the products' sums are exact."""
+        most = self.most * int(np.abs(c).max(initial=0)) * max(1, c.shape[1])
+        return float if most < EXACT_IN_DOUBLE else np.int64 if most < EXACT_IN_LONG else object
+
+    def set_floors(self, ids: np.ndarray, c: np.ndarray) -> None:
+        """The k-th score of every query among a few candidates with different ids."""
+        kind = self.kind(c)
+        x = c.astype(kind)
+        for i, q in enumerate(self.v.astype(kind)):
+            scores = (x @ q)[ids != self.ids[i]]
+            if len(scores) >= self.k:
+                self.floor[i] = int(sorted(scores.tolist(), reverse=True)[self.k - 1])
+
+    def see(self, ids: np.ndarray, c: np.ndarray, d: np.ndarray) -> None:
+        """Take in a block of candidates."""
+        kind, norm = self.kind(c), (c.astype(float) ** 2).sum(1)
+        x, q = c.astype(kind), self.v.astype(kind)
+        gap = np.maximum(0, np.maximum(d.min(0) - self.d, self.d - d.max(0))).max(axis=1) if d.shape[1] else np.zeros(len(q))
+        whole = self._bound(gap, self.norm, norm.max())
+        for i in range(len(q)):
+            floor = self.floor[i]
+            if floor is not None and whole[i] < floor:
+                continue
+            low = np.abs(d - self.d[i]).max(axis=1) if d.shape[1] else np.zeros(len(c))
+            bound = self._bound(low, self.norm[i], norm)
+            order = np.argsort(-bound, kind="stable")
+            best = self.found[i]
+            for a in range(0, len(order), STEP):
+                if floor is not None and bound[order[a]] < floor:
+                    break
+                at = order[a : a + STEP]
+                got = x[at] @ q[i]
+                if floor is not None:
+                    keep = got >= floor
+                    at, got = at[keep], got[keep]
+                for j, s in zip(at.tolist(), got.tolist(), strict=True):
+                    if (v := int(ids[j])) != self.ids[i] and int(s) >= best.get(v, int(s)):
+                        best[v] = int(s)
+                best = dict(sorted(best.items(), key=lambda x: (-x[1], x[0]))[: self.k])
+                if len(best) == self.k:
+                    floor = max(min(best.values()), floor if floor is not None else -(1 << 200))
+            self.found[i], self.floor[i] = best, floor
+
+    @staticmethod
+    def _bound(low, qn, cn):
+        """The largest inner product of vectors at least ``low`` apart, from their squared norms."""
+        low = np.maximum(0, low - SLACK * (np.sqrt(qn) + np.sqrt(cn) + 1))
+        return (qn + cn - low * low) / 2 + SLACK * (qn + cn + 1)
+
+    def rows(self) -> pa.RecordBatch:
+        """query_id, vec_id and score of all that is kept; scores beyond 64 bits stand at their ends."""
+        flat = [(int(q), v, min(max(s, -EXACT_IN_LONG), EXACT_IN_LONG - 1)) for q, best in zip(self.ids, self.found, strict=True) for v, s in best.items()]
+        return pa.RecordBatch.from_arrays([pa.array([r[j] for r in flat], pa.int64()) for j in range(3)], ["query_id", "vec_id", "score"])
+
+
+def _blocks(df: DataFrame, pivots: np.ndarray, dim: int) -> DataFrame:
+    """Each task's rows as blocks of vectors with one nearest pivot: ids, vectors and pivot distances as bytes."""
+    size = max(1, min(BLOCK, BLOCK_BYTES // (8 * max(1, dim))))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple[np.ndarray, ...]]] = {}
+
+        def close(cell: int) -> pa.RecordBatch:
+            ids, v, d = (np.concatenate(x) for x in zip(*held.pop(cell), strict=True))
+            kind = next((t for t in ("<i2", "<i4") if v.min() >= np.iinfo(t).min and v.max() <= np.iinfo(t).max), "<i8")
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((ids.astype("<i8").tobytes(), pa.binary()), (v.astype(kind).tobytes(), pa.binary()), (d.tobytes(), pa.binary()), (kind, pa.string()))], ["ids", "v", "d", "kind"])
+
         for batch in batches:
             for a in range(0, batch.num_rows, size):
                 part = batch.slice(a, size)
-                ids = part.column("vec_id").to_numpy()
-                v = part.column("v").flatten().to_numpy().reshape(-1, dim)
-                kind = next((t for t in ("<i2", "<i4") if v.min() >= np.iinfo(t).min and v.max() <= np.iinfo(t).max), "<i8")
-                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((ids.astype("<i8").tobytes(), pa.binary()), (v.astype(kind).tobytes(), pa.binary()), (distances(v, pivots).tobytes(), pa.binary()), (kind, pa.string()))], ["ids", "v", "d", "kind"])
+                ids, v = part.column("vec_id").to_numpy(), part.column("v").flatten().to_numpy().reshape(-1, dim)
+                d = distances(v, pivots)
+                nearest = d.argmin(1) if len(pivots) else np.zeros(len(v), int)
+                for cell in np.unique(nearest).tolist():
+                    at = nearest == cell
+                    held.setdefault(cell, []).append((ids[at], v[at], d[at]))
+                    if sum(len(x[0]) for x in held[cell]) >= size:
+                        yield close(cell)
+        for cell in sorted(held):
+            yield close(cell)
 
     return df.mapInArrow(giving_back(pack), "ids binary, v binary, d binary, kind string")
 
@@ -109,11 +165,11 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, pivots: int = P
 
     Both inputs hold vec_id and v, a list of whole numbers; only vectors of one length are compared.
     A candidate with the query's own id is left out, ties go to the smaller id, and repeated rows
-    of an id count once, with their best score. Queries and candidates meet as blocks: each block
-    of candidates is sent to every block of queries, and only k rows for each query and block leave.
+    of an id count once, with their best score. Scores beyond 64 bits count as the largest or least
+    number of 64 bits. Empty tables give no rows. The different lengths of the queries go to the driver.
     """
     merged = None
-    dims = [r[0] for r in candidates.select(F.size("v").alias("n")).distinct().collect()]
+    dims = [r[0] for r in queries.select(F.size("v").alias("n")).distinct().collect()]
     for dim in sorted(dims):
         part = top_k_of_length(queries.where(F.size("v") == dim), candidates.where(F.size("v") == dim), dim, k, pivots, pivot_sample)
         merged = part if merged is None else merged.unionByName(part)
@@ -126,29 +182,39 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, pivots: int = P
 
 def top_k_of_length(queries: DataFrame, candidates: DataFrame, dim: int, k: int, n_pivots: int, pivot_sample: int) -> DataFrame:
     spark = candidates.sparkSession
-    sample = candidates.orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivot_sample).collect()  # fits the pivots only
-    pivots = choose_pivots(np.array([r["v"] for r in sample], float).reshape(-1, dim), n_pivots)
-    q = save_shared(_blocks(queries.select("vec_id", "v").repartition(max(1, -(-queries.count() // QUERY_BLOCK))), pivots, dim, QUERY_BLOCK), "query-blocks")
-    numbered = q.select("ids").distinct().orderBy("ids")  # block numbers; a row for each QUERY_BLOCK queries
-    names = [r[0] for r in numbered.select(F.sha2("ids", 256)).collect()]
-    cores = max(1, spark.sparkContext.defaultParallelism)
-    salts = max(1, -(-2 * cores // max(1, len(names))))
-    # a query block's candidates are dealt to several tasks; few query blocks would else mean few tasks
-    left = q.dropDuplicates(["ids", "v"]).withColumn("name", F.sha2("ids", 256)).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    left = left.select("name", "salt", *[F.col(x).alias(f"q_{x}") for x in ("ids", "v", "d", "kind")])
-    names_col = F.array(*map(F.lit, names)) if names else F.array().cast("array<string>")
-    right = _blocks(candidates.select("vec_id", "v"), pivots, dim, CANDIDATE_BLOCK).withColumn("name", F.explode(names_col)).withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(salts)).cast("int"))
+    matrix = lambda rows: np.array([r["v"] for r in rows], np.int64).reshape(-1, dim)
+    sample = candidates.orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivot_sample).collect()  # fits the pivots, and floors of scores
+    sample = list({r["vec_id"]: r for r in sample}.values())
+    pivots = choose_pivots(matrix(sample).astype(float), n_pivots)
+    blocks = save_shared(_blocks(candidates.select("vec_id", "v"), pivots, dim), "blocks")
+    asked = save_shared(queries.select("vec_id", "v").distinct(), "queries")
+    chunks = max(1, -(-asked.count() * 8 * (dim + len(pivots) + 2) // QUERY_BYTES))
+    out = None
+    for chunk in range(chunks):
+        rows = asked.where(F.pmod(F.xxhash64("vec_id", "v"), F.lit(chunks)) == chunk).collect()  # about QUERY_BYTES
+        v = matrix(rows)
+        best = Best(np.array([r["vec_id"] for r in rows], np.int64), v, distances(v, pivots), k)
+        best.set_floors(np.array([r["vec_id"] for r in sample], np.int64), matrix(sample))
+        part = _scored(spark, blocks, best, dim, len(pivots))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _scored(spark, blocks: DataFrame, best: Best, dim: int, n_pivots: int) -> DataFrame:
+    """query_id, vec_id and score of each task's best candidates of some queries."""
+    shared = spark.sparkContext.broadcast(best)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start = shared.value  # kept by the worker for its next tasks, which begin anew
+        mine = Best(start.ids, start.v, start.d, start.k)
+        mine.floor = list(start.floor)
         for batch in batches:
             for r in range(batch.num_rows):
                 x = {c: batch.column(c)[r].as_py() for c in batch.schema.names}
-                a, b = ((np.frombuffer(x[f"{s}ids"], "<i8"), np.frombuffer(x[f"{s}v"], x[f"{s}kind"]).reshape(-1, dim).astype(np.int64), np.frombuffer(x[f"{s}d"]).reshape(-1, len(pivots))) for s in ("q_", ""))
-                rows, ids, scores = top_in_block(*a, *b, k)
-                yield pa.RecordBatch.from_arrays([pa.array(a[0][np.array(rows, int)]), pa.array(ids, pa.int64()), pa.array(scores, pa.int64())], ["query_id", "vec_id", "score"])
+                mine.see(np.frombuffer(x["ids"], "<i8"), np.frombuffer(x["v"], x["kind"]).reshape(-1, dim).astype(np.int64), np.frombuffer(x["d"]).reshape(-1, n_pivots))
+        yield mine.rows()
 
-    pairs = left.join(right, ["name", "salt"]).select("q_ids", "q_v", "q_d", "q_kind", "ids", "v", "d", "kind")
-    return pairs.mapInArrow(giving_back(score), "query_id long, vec_id long, score long")
+    return blocks.mapInArrow(giving_back(score), "query_id long, vec_id long, score long")
 
 
 ORACLE = """

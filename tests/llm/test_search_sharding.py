@@ -24,8 +24,8 @@ def brute(ids, v, queries, k):
 
 @pytest.mark.parametrize("scale", [50, 10**9])
 def test_top_k_is_exact(spark, monkeypatch, scale):
-    monkeypatch.setattr(search, "CANDIDATE_BLOCK", 40)
-    monkeypatch.setattr(search, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(search, "BLOCK", 40)
+    monkeypatch.setattr(search, "QUERY_BYTES", 500)
     monkeypatch.setattr(search, "STEP", 8)
     rng = np.random.default_rng(4)
     v = np.concatenate([rng.integers(-scale, scale, (150, 6)), np.zeros((3, 6), int), np.repeat(rng.integers(-scale, scale, (1, 6)), 20, 0)])
@@ -39,6 +39,42 @@ def test_top_k_is_exact(spark, monkeypatch, scale):
     assert got == brute(ids, v, queries, 4)
 
 
+def test_bounds_exclude_candidates():
+    """Far clusters: most candidates are never evaluated, and the answer is that of brute force."""
+    rng = np.random.default_rng(9)
+    centres = rng.integers(-3000, 3000, (8, 12))
+    v = np.concatenate([c + rng.integers(-40, 40, (300, 12)) for c in centres])
+    ids = np.arange(len(v))
+    pivots = search.choose_pivots(v[::40].astype(float), 8)
+    asked = ids[::100]
+    best = search.Best(asked, v[asked], search.distances(v[asked], pivots), 5)
+    best.set_floors(ids[::7], v[::7])
+    seen = [0]
+
+    class Counting(np.ndarray):
+        def __matmul__(self, other):
+            seen[0] += len(self)
+            return np.asarray(self) @ np.asarray(other)
+
+    order = search.distances(v, pivots).argmin(1).argsort(kind="stable")
+    for a in range(0, len(v), 300):
+        at = order[a : a + 300]
+        best.see(ids[at], v[at].view(Counting), search.distances(v[at], pivots))
+    got = {q: sorted(f.items(), key=lambda x: (-x[1], x[0])) for q, f in zip(asked.tolist(), best.found, strict=True)}
+    want = brute(ids.tolist(), v, asked.tolist(), 5)
+    for q in want:
+        merged = sorted({**dict(got[q])}.items(), key=lambda x: (-x[1], x[0]))[:5]
+        assert merged == want[q]
+    assert seen[0] < 0.5 * len(v) * len(asked)
+
+
+def test_products_beyond_64_bits(spark):
+    big = 2**62
+    df = spark.createDataFrame([(0, [big, big]), (1, [big, 1]), (2, [-big, -big])], "vec_id long, v array<bigint>")
+    got = sorted((r["rank"], r.vec_id, r.score) for r in search.top_k(df.where("vec_id = 0"), df, 5).collect())
+    assert got == [(1, 1, 2**63 - 1), (2, 2, -(2**63))]
+
+
 def test_vectors_that_take_no_part(spark):
     rows = [(0, [1.0, 2.0]), (1, None), (2, [None, 1.0]), (3, [float("nan"), 0.0]), (4, [float("inf"), 0.0]), (5, []), (6, [0.5, 0.5]), (None, [1.0, 1.0]), (7, [1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
