@@ -16,7 +16,7 @@ from palimpsest.llm.common import save_shared, table
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier of op9 rejects go."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score_documents(docs, model, keep=True).where("__toxic = 0").select(*docs.columns)
+    return toxicity.drop_toxic(docs, model)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
