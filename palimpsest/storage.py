@@ -56,5 +56,5 @@ def partitions_for(df: DataFrame, each: int = PARTITION_BYTES) -> int:
     bytes asks for them."""
     spark = df.sparkSession
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return max(least, min(-(-size // each), 1_000_000)) if size < 1 << 60 else least  # a size that isn't known is the largest number
