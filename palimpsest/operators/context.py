@@ -52,11 +52,12 @@ def labels_of_cells(cells: DataFrame) -> DataFrame:
 
 def scan_line_accounts(lines: DataFrame, accounts: DataFrame) -> DataFrame:
     """Digit runs of 20 to 60 with the longest known account number inside: doc_id, line_no, run, account.
+    No digit or hyphen touches a run, and a number has six digits at least.
 
-    Runs and numbers meet on every ten-digit piece of the run, so the join is an equi join; the whole
-    number is verified. Numbers under ten digits are not looked for."""
-    runs = lines.select("doc_id", "line_no", F.explode(F.regexp_extract_all("text", F.lit("[0-9]{20,60}"), F.lit(0))).alias("run"))
-    keyed = runs.withColumn("k", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("run") - 9), lambda i: F.substr("run", i, F.lit(10))))))
-    known = accounts.where(F.length("account") >= 10).select("account", F.substring("account", 1, 10).alias("k"))
+    Runs and numbers meet on every six-digit piece of the run, so the join is an equi join; the whole
+    number is verified."""
+    runs = lines.select("doc_id", "line_no", F.explode(F.regexp_extract_all("text", F.lit("(?<![0-9-])[0-9]{20,60}(?![0-9-])"), F.lit(0))).alias("run"))
+    keyed = runs.withColumn("k", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("run") - 5), lambda i: F.substr("run", i, F.lit(6))))))
+    known = accounts.where(F.length("account") >= 6).select("account", F.substring("account", 1, 6).alias("k"))
     hit = keyed.join(known, "k").where(F.instr(F.col("run"), F.col("account")) > 0)
     return hit.groupBy("doc_id", "line_no", "run").agg(F.max_by("account", F.struct(F.length("account"), "account")).alias("account"))

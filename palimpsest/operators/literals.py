@@ -143,16 +143,19 @@ def near_tokens(tokens: DataFrame, names: DataFrame) -> DataFrame:
     return longer.unionByName(shorter).unionByName(swaps).where("token <> name").distinct()
 
 
-def longest_known(texts: DataFrame, gazetteer: DataFrame, id_col: str = "doc_id", most_words: int = 4) -> DataFrame:
-    """For each text the longest run of up to four words that the gazetteer knows; of equal ones the
-    last. Runs are joined on their folded form."""
+def longest_known(texts: DataFrame, gazetteer: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """For each text the longest run of words that the gazetteer knows, however long its names are; of equal
+    ones the last. Runs are joined on their folded form; the numbers of words that names have go to the driver."""
     words = F.filter(F.split(F.regexp_replace("text", r"[^\p{L}\p{N}' ]", " "), r"\s+"), lambda w: w != "")
     runs = texts.select(F.col(id_col).alias(id_col), words.alias("w"))
-    parts = [runs.where(F.size("w") >= n).select(id_col, F.lit(n).alias("n"), F.posexplode(_grams(n)).alias("pos", "place")) for n in range(1, most_words + 1)]
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
     known = gazetteer.select(F.lower("name").alias("known")).distinct()
+    sizes = sorted(r[0] for r in known.select(F.size(F.split(F.trim("known"), r"\s+"))).distinct().collect())
+    if not sizes:
+        return runs.where("false").select(id_col, F.lit("").alias("place"))
+    rows = None
+    for n in sizes:
+        part = runs.where(F.size("w") >= n).select(id_col, F.lit(n).alias("n"), F.posexplode(_grams(n)).alias("pos", "place"))
+        rows = part if rows is None else rows.unionByName(part)
     hit = rows.join(known, F.lower(F.col("place")) == F.col("known"))
     return hit.groupBy(id_col).agg(F.max_by("place", F.struct("n", "pos")).alias("place"))
 

@@ -28,14 +28,15 @@ def lost(before: DataFrame, after: DataFrame, value: str, n: str = "n") -> DataF
 
 
 def leaks(truth: DataFrame, outputs: DataFrame) -> DataFrame:
-    """truth (set_id, kind, value) that stands in outputs (set_id, doc_id, text): one row for each.
+    """truth (set_id, kind, value) that stands in outputs (set_id, doc_id, text): one row for each. Truth
+    without a set_id is looked for in every set.
 
     Values meet texts on their folded first word, and are verified between bounds."""
     word = r"[\p{L}\p{N}]+"
     keyed = truth.withColumn("lead", F.lower(F.regexp_extract("value", word, 0))).where("lead <> ''")
     text = F.lower(F.col("text"))
     words = outputs.select("set_id", "doc_id", F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(word), F.lit(0)))).alias("lead"))
-    some = words.join(keyed, ["set_id", "lead"]).drop("lead").distinct()
+    some = words.join(keyed, [c for c in ("set_id", "lead") if c in keyed.columns]).drop("lead").distinct()
     quoted = F.concat(F.lit(r"(?<![\p{L}\p{N}])\Q"), F.lower(F.col("value")), F.lit(r"\E(?![\p{L}\p{N}])"))
     return some.join(outputs.select("set_id", "doc_id", text.alias("t")), ["set_id", "doc_id"]).where(F.regexp_like("t", quoted)).select("set_id", "kind", "value", "doc_id").distinct()
 
@@ -85,3 +86,36 @@ def threshold_sweep(scored: DataFrame, cutoffs: tuple[float, ...]) -> DataFrame:
     rows = scored.select("score", "same", "split", F.explode(F.array(*map(F.lit, cutoffs))).alias("cutoff"))
     hit = F.col("score") >= F.col("cutoff")
     return rows.groupBy("split", "cutoff").agg(F.count_if(hit & F.col("same")).alias("true_positives"), F.count_if(hit & ~F.col("same")).alias("false_positives"), F.count_if(F.col("same")).alias("same_pairs"), F.count_if(~F.col("same")).alias("other_pairs"))
+
+
+def case_secrets(truth: DataFrame) -> DataFrame:
+    """set_id, kind and value: what any document of a case holds is secret in all of them."""
+    return truth.select("set_id", "kind", F.trim("value").alias("value")).where("value <> ''").distinct()
+
+
+def left_counts(left: DataFrame) -> DataFrame:
+    """kind and the different values of it that were left as written."""
+    return left.groupBy("kind").agg(F.count_distinct("value").alias("values"))
+
+
+def first_distinct(values: Column) -> Column:
+    """An array's different values in the order of their first appearance; nulls and blanks go."""
+    return F.array_distinct(F.filter(values, lambda v: v.isNotNull() & (F.trim(v) != "")))
+
+
+def outside(documents: Column, others: Column) -> Column:
+    """Whether an array of documents holds one that is in none of the others."""
+    return F.size(F.array_except(documents, others)) > 0
+
+
+def lost_merchants(before: DataFrame, after: DataFrame, household: DataFrame) -> DataFrame:
+    """doc_id, value and lost: merchants (doc_id, value, n) that stand less often after than before; names of the
+    household (value) are meant to go."""
+    known = household.select(F.lower("value").alias("__v")).distinct()
+    return lost(before, after, "value").join(known, F.lower("value") == F.col("__v"), "left_anti")
+
+
+def lost_values(before: DataFrame, after: DataFrame, pattern: str, text_col: str = "text") -> DataFrame:
+    """doc_id, value and lost: what a pattern finds more often before than after, such as words or dates."""
+    count = lambda t: t.select("doc_id", F.explode(F.regexp_extract_all(text_col, F.lit(pattern), F.lit(0))).alias("value")).groupBy("doc_id", "value").agg(F.count(F.lit(1)).alias("n"))
+    return lost(count(before), count(after), "value")

@@ -79,3 +79,54 @@ def city_lines(lines: DataFrame) -> DataFrame:
     below = F.lead("text").over(Window.partitionBy("doc_id").orderBy("line_no"))
     rows = lines.withColumn("below", below).withColumn("z", F.regexp_extract("below", r"([0-9]{5})(?:-[0-9]{4})?\s*$", 1))
     return rows.where((F.col("z") != "") & (F.col("zip5").isNull() | (F.col("zip5") == F.col("z")))).select("doc_id", "line_no", "text", "below")
+
+
+def numbered_rows(values: DataFrame) -> DataFrame:
+    """owner, kind, n and value: an owner's values of a kind in the order of the sheet, and the kinds in the
+    order of a review."""
+    order = F.create_map(*[F.lit(x) for i, k in enumerate(KIND_ORDER) for x in (k, i)])
+    n = F.row_number().over(Window.partitionBy("owner", "kind").orderBy("seq", "value"))
+    return values.select("owner", F.coalesce(order[F.col("kind")], F.lit(len(KIND_ORDER))).alias("kind_order"), "kind", n.alias("n"), "value")
+
+
+#: Categories that a file keeps whatever the sheet says.
+LEAVE = ("case_number", "case_name", "case_designator", "check_number", "order_number", "tracking_number", "routing_number", "policy_number", "claim_number", "loan_number", "diagnosis_code", "prescription", "bar_number")
+
+
+def file_match(found: DataFrame) -> DataFrame:
+    """id, decision and target of what a file holds, by the first rule that applies.
+
+    Columns: id, category, bare (an unlabelled card), key (the party row that it folds into, or null),
+    loan_line, city_line, above_key (the party row that the line above folds into), owner (the only party that
+    context names), full_ssn, tail (four digits of one), masked and transfer_line.
+
+    untouched: a category that is left alone. left: as written, and counted. form: a new form of a party's row.
+    new: a new value of its owner, or of the parties together."""
+    account = F.col("category").isin("bank_account", "masked_account", "credit_card", "investment_account")
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    rule = lambda decision, target=None: F.struct(F.lit(decision).alias("decision"), (target if target is not None else F.lit(None)).cast("string").alias("target"))
+    out = (
+        F.when(F.col("category").isin(*LEAVE), rule("untouched"))
+        .when(yes("bare"), rule("left"))
+        .when(F.col("key").isNotNull(), rule("form", F.col("key")))
+        .when(account & yes("loan_line"), rule("left"))
+        .when(yes("city_line"), F.when(F.col("above_key").isNotNull(), rule("form", F.col("above_key"))).otherwise(rule("left")))
+        .when(F.col("owner").isNotNull(), rule("new", F.col("owner")))
+        .when(yes("full_ssn") | yes("tail"), rule("new", F.lit("PARTIES")))
+        .when(yes("masked") & yes("transfer_line"), rule("new", F.lit("PARTIES")))
+        .otherwise(rule("left"))
+    )
+    return found.select("id", out.alias("r")).select("id", "r.decision", "r.target")
+
+
+def bare_digits(units: DataFrame, numbers: DataFrame) -> DataFrame:
+    """doc_id, run and number: digit runs of at least six that are a known number, its end, or it without the
+    zeros in front. Runs and numbers meet on their last six digits; a run that fits several numbers is none."""
+    plain = lambda c: F.regexp_replace(c, "^0+", "")
+    last = lambda c: F.substr(c, F.length(c) - 5, F.lit(6))
+    runs = units.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("(?<![0-9.,])[0-9]{6,}(?![0-9]|[.,][0-9])"), F.lit(0)))).alias("run"))
+    runs = runs.withColumn("r", plain("run")).where(F.length("r") >= 6).withColumn("k", last(F.col("r")))
+    known = numbers.select("number", digits(F.col("number")).alias("d")).withColumn("p", plain("d")).where(F.length("p") >= 6).withColumn("k", last(F.col("p")))
+    hit = runs.join(known, "k").where((F.col("r") == F.col("p")) | F.endswith("d", F.col("run")))
+    one = hit.groupBy("doc_id", "run").agg(F.count_distinct("number").alias("n"), F.min("number").alias("number"))
+    return one.where("n = 1").select("doc_id", "run", "number")

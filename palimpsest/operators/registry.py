@@ -7,11 +7,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
-from ..storage import save_shared
+from ..storage import partitions_for, save_shared
 from . import spans
 from .categories import TAGS
 
 
+#: Ranges up to which their counts, a row for each and each tag, are broadcast.
+BROADCAST_PARTS = 10_000
+
+
 def entity_key(category: Column, value: Column) -> Column:
     return F.concat_ws("|", category, T.fold(value))
 
@@ -28,9 +32,10 @@ def build(matches: DataFrame) -> DataFrame:
     Counts are combined before the shuffle, so a value in a third of all rows is no hot spot."""
     seen = F.struct("doc_id", "unit_id", "begin", F.col("value").alias("value"))
     rows = matches.select(entity_key(F.col("category"), F.col("value")).alias("entity_key"), "category", "doc_id", seen.alias("seen"))
-    out = rows.groupBy("entity_key", "category").agg(F.min("seen").alias("seen"), F.count(F.lit(1)).alias("occurrences"), F.approx_count_distinct("doc_id").alias("__about"))
-    docs = rows.select("entity_key", "doc_id").distinct().groupBy("entity_key").agg(F.count(F.lit(1)).alias("documents"))
-    return out.drop("__about").join(docs, "entity_key").select("entity_key", "category", F.col("seen.value").alias("canonical"), "occurrences", "documents", F.struct("seen.doc_id", "seen.unit_id", "seen.begin").alias("first_seen"))
+    # by document first: one pass over the matches gives both counts
+    docs = rows.groupBy("entity_key", "category", "doc_id").agg(F.min("seen").alias("seen"), F.count(F.lit(1)).alias("n"))
+    out = docs.groupBy("entity_key", "category").agg(F.min("seen").alias("seen"), F.sum("n").alias("occurrences"), F.count(F.lit(1)).alias("documents"))
+    return out.select("entity_key", "category", F.col("seen.value").alias("canonical"), "occurrences", "documents", F.struct("seen.doc_id", "seen.unit_id", "seen.begin").alias("first_seen"))
 
 
 def number(entities: DataFrame) -> DataFrame:
@@ -39,7 +44,7 @@ def number(entities: DataFrame) -> DataFrame:
     Entities of a tag are dealt by ranges of their first appearance and counted range by range, so
     that no single task sorts all of them."""
     rows = entities.withColumn("tag", tag_of(F.col("category")))
-    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = partitions_for(rows)
     order = ["tag", "first_seen", "entity_key"]
     # written before it is counted, so that both readers see the same ranges
     rows = save_shared(rows.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()), "ranges")
@@ -47,7 +52,7 @@ def number(entities: DataFrame) -> DataFrame:
     before = Window.partitionBy("tag").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select(F.col("tag").alias("__tag"), F.col("__part").alias("__p"), F.coalesce(F.sum("__k").over(before), F.lit(0)).alias("__base"))
     inside = F.row_number().over(Window.partitionBy("tag", "__part").orderBy("first_seen", "entity_key"))
-    rows = rows.withColumn("__n", inside).join(F.broadcast(counts), (F.col("tag") == F.col("__tag")) & (F.col("__part") == F.col("__p")))
+    rows = rows.withColumn("__n", inside).join(F.broadcast(counts) if parts <= BROADCAST_PARTS else counts, (F.col("tag") == F.col("__tag")) & (F.col("__part") == F.col("__p")))
     n = (F.col("__base") + F.col("__n")).cast("long")
     return rows.select(*entities.columns, "tag", n.alias("n"), T.placeholder(F.col("tag"), n).alias("replacement"))
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right, insort
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -202,6 +202,12 @@ def explode_matches(scanned: DataFrame) -> DataFrame:
     return scanned.select(*rest, F.explode("matches").alias("m")).select(*rest, "m.*")
 
 
+def find_dates(units: DataFrame, keys: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
+    """keys, begin, end and value of every written date in a text. A null text holds none."""
+    pattern = re.compile(rf"(?<![\d/.-]){labels.DATE}(?![\d/-]|\.\d)", re.IGNORECASE)
+    return _found_spans(units, keys, text_col, lambda t: [m.span() for m in pattern.finditer(t)])
+
+
 def web_addresses(text: str) -> list[tuple[int, int]]:
     """Spans of web addresses, with a scheme or without; a bare host inside a longer address is none."""
     full = [m.span() for d, p in shapes(frozenset(("url",))) for m in p.finditer(text)]
@@ -213,10 +219,13 @@ def web_addresses(text: str) -> list[tuple[int, int]]:
 
 def find_web_addresses(units: DataFrame, keys: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
     """keys, begin, end and value of every web address in a text. A null text holds none."""
+    return _found_spans(units, keys, text_col, web_addresses)
+
 
+def _found_spans(units: DataFrame, keys: tuple[str, ...], text_col: str, find: Callable[[str], list[tuple[int, int]]]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(i, a, b, t[a:b]) for i, t in enumerate(batch.column(text_col).to_pylist()) if t for a, b in web_addresses(t)]
+            rows = [(i, a, b, t[a:b]) for i, t in enumerate(batch.column(text_col).to_pylist()) if t for a, b in find(t)]
             at = pa.array([r[0] for r in rows], pa.int64())
             yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in keys), *(pa.array([r[j] for r in rows], t) for j, t in ((1, pa.int32()), (2, pa.int32()), (3, pa.string())))], [*keys, "begin", "end", "value"])
 

@@ -41,6 +41,25 @@ def drop_within(spans: Column, others: Column, strictly: bool = False) -> Column
     return F.filter(spans, lambda s: ~F.exists(others, lambda o: contains(o, s) & longer(s, o)))
 
 
+def date_guard(hits: Column, dates: Column) -> Column:
+    """The hits that are not inside a written date; a date of birth may be."""
+    return F.filter(hits, lambda h: (h["category"] == "dob") | ~F.exists(dates, lambda d: contains(d, h)))
+
+
+def held_back(hits: Column, unticked: Column) -> Column:
+    """The hits that are not inside an unticked form of their own group. Both have ``group``; a group's own
+    unticked forms hold it back, other groups' don't."""
+    return F.filter(hits, lambda h: ~F.exists(unticked, lambda u: (u["group"] == h["group"]) & contains(u, h)))
+
+
+def one_per_place(leaks: Column) -> Column:
+    """Leaks (begin, end, sure) without those inside a surer or as sure and longer one; of those at one place
+    the surest, then the first."""
+    kept = F.filter(leaks, lambda s: ~F.exists(leaks, lambda o: contains(o, s) & ((o["end"] - o["begin"]) > (s["end"] - s["begin"])) & (o["sure"] >= s["sure"])))
+    at = lambda a, b: (a["begin"] == b["begin"]) & (a["end"] == b["end"])
+    return F.array_sort(F.filter(kept, lambda s, i: ~F.exists(F.transform(kept, lambda o, j: F.struct(o.alias("o"), j.alias("j"))), lambda x: at(x["o"], s) & ((x["o"]["sure"] > s["sure"]) | ((x["o"]["sure"] == s["sure"]) & (x["j"] < i))))))
+
+
 def resolve(spans: Column) -> Column:
     """By priority, then length, then place (then category): a span stays if none before it overlaps
     it. The result is in order of place. Structs are (begin, end, category, priority, value)."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 from collections.abc import Iterator
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -16,6 +17,7 @@ _HEADS = "Al Ber Cor Dan El Fen Gar Hol Ig Jor Kel Lan Mar Nor Os Per Quin Ros S
 _GIVEN_ENDS, _LAST_ENDS = "an a en ina o eth is ette".split(), "mont ley wick ford stad berg ham dale worth by".split()
 GIVEN = [h + e for h in _HEADS for e in _GIVEN_ENDS]
 LAST = [h + e for h in _HEADS for e in _LAST_ENDS]
+#: Draws of a single part.
 ATTEMPTS = 64
 
 
@@ -23,6 +25,13 @@ def pick(salt: bytes, n: int, *parts: str) -> int:
     return int.from_bytes(hmac.new(salt, "\x1f".join(parts).encode(), hashlib.sha256).digest()[:8], "big") % n
 
 
+def _draws(pool: list[str], salt: bytes, *parts: str) -> Iterator[str]:
+    """Parts of the pool as the keyed hash picks them; after ATTEMPTS of them two parts with a hyphen, then
+    three and so on, so that there is always one that is not used."""
+    for k in count():
+        yield "-".join(pool[pick(salt, len(pool), *parts, str(k), *([str(j)] if j else []))] for j in range(1 + k // ATTEMPTS))
+
+
 def assign(names: list[str], salt: bytes) -> dict[str, str]:
     """A full invented name for each real one, in the order given. Equal last names share an invented
     one; no invented part is a real part, and no two people get the same name."""
@@ -33,15 +42,11 @@ def assign(names: list[str], salt: bytes) -> dict[str, str]:
     for name, p in parsed.items():
         family = _key(p.last)
         if family and family not in last_of:
-            for k in range(ATTEMPTS):
-                made = LAST[pick(salt, len(LAST), "last", family, str(k))]
-                if _key(made) not in real and made not in last_of.values():
-                    break
-            last_of[family] = made
-        for k in range(ATTEMPTS):
-            first = GIVEN[pick(salt, len(GIVEN), "first", _key(p.first), family, str(k))]
+            last_of[family] = next(made for made in _draws(LAST, salt, "last", family) if _key(made) not in real and made not in last_of.values())
+        used = set(out.values())
+        for first in _draws(GIVEN, salt, "first", _key(p.first), family):
             made = " ".join(x for x in (first, last_of.get(family, "")) if x)
-            if _key(first) not in real and made not in out.values():
+            if not {_key(w) for w in first.split("-")} & real and made not in used:
                 break
         out[name] = made
     return out

@@ -72,6 +72,19 @@ def words_to_lines(words: DataFrame, gap: float = 1.4) -> DataFrame:
     return spaced.groupBy("doc_id", "page", "block", "line").agg(F.array_join(F.transform(parts, lambda p: p["piece"]), "").alias("text"))
 
 
+#: Widths of letters beside an ordinary one.
+NARROW, WIDE = "ijltf.,;:'|!1 ", "mwMW@"
+
+
+def letter_places(word: Column, x0: Column, x1: Column) -> Column:
+    """Where each letter of a word between x0 and x1 begins: narrow letters take half a share, wide ones two."""
+    letters = F.filter(F.split(word, ""), lambda c: c != "")
+    share = F.transform(letters, lambda c: F.when(F.contains(F.lit(NARROW), c), 0.5).when(F.contains(F.lit(WIDE), c), 2.0).otherwise(1.0))
+    add = lambda n: F.aggregate(F.slice(share, 1, n), F.lit(0.0), lambda a, s: a + s)
+    total = add(F.size(share))
+    return F.transform(letters, lambda c, i: x0 + (x1 - x0) * add(i) / total)
+
+
 def visual_rows(words: DataFrame, tolerance: float = 0.45) -> DataFrame:
     """Words numbered by the visual row they stand in: a new row begins where the middle of a word is
     further below the one before than a share of its height."""
