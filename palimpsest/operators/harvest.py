@@ -24,7 +24,7 @@ BOILERPLATE = frozenset("and at case commissioner county court defendant distric
 _PERSONS = frozenset(("party", "former", "official", "child", "counterparty", "cardholder", "holder", "person", "receiver", "feed"))
 _RANK = {"high": 3, "medium": 2, "low": 1}
 
-_WORD = r"[A-Z][\w'’-]*\.?"
+_WORD = r"(?:[A-Z]\.|[A-Z][\w'’-]*)"
 #: Words with one space between them; a wider gap is a column's.
 _NAME = rf"(?:[A-Z][\w'’-]+|[A-Z]\.(?=[ \t]))(?:[ \t]{_WORD}){{0,4}}"
 _ROLE = r"(?:Petitioner|Respondent|Plaintiff|Defendant|Appellant|Appellee|PETITIONER|RESPONDENT|PLAINTIFF|DEFENDANT)"
