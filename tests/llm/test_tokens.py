@@ -80,3 +80,48 @@ def test_plan_uses_the_histogram_and_wastes_little():
     assert (used == hist).all()
     total = sum(n for _, n in planned)
     assert (hist * np.arange(len(hist))).sum() / (total * 2048) > 0.97
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_plan_needs_no_more_than_a_plain_packer(seed):
+    """Best fit, the longest first: the plan has at most as many sequences, and no fewer than its ids fill."""
+    rng = np.random.default_rng(seed)
+    hist = np.bincount(np.clip(rng.lognormal(6, 0.8, 4000).astype(int), 1, 2047), minlength=2049)
+    rooms = []
+    for n in np.repeat(np.arange(2049), hist)[::-1].tolist():
+        at = min((i for i, r in enumerate(rooms) if r >= n), key=lambda i: rooms[i], default=None)
+        if at is None:
+            rooms.append(2048 - n)
+        else:
+            rooms[at] -= n
+    mine = sum(n for _, n in packing.plan(hist))
+    assert -(-int((hist * np.arange(2049)).sum()) // 2048) <= mine <= len(rooms)
+
+
+def test_forgotten_pieces_are_encoded_again(monkeypatch):
+    """A small memory gives the same ids."""
+    from palimpsest.llm import tokens
+
+    monkeypatch.setattr(tokens, "CACHE_BYTES", 20_000)
+    monkeypatch.setattr(tokens, "RECENT", 64)
+    for file, attached in FILES:
+        e = Encoder(public_tokenizers.path(file), attached)
+        rng = random.Random(8)
+        for _ in range(30):
+            texts = [" ".join(f"w{rng.randint(0, 3000)}" + "x" * rng.choice([0, 70]) for _ in range(40)) for _ in range(20)]
+            ids, lengths = e(pa.array(texts))
+            assert ids.tolist() == [i for t in texts for i in e.whole(t).tolist()] and len(lengths) == 20
+        assert e.known.bytes <= 20_000
+
+
+def test_piece_keys_tell_spans_apart():
+    from palimpsest.llm.tokens import piece_keys
+
+    words = sorted({bytes(random.Random(i).choices(b"ab\x00\xff", k=random.Random(i).randint(0, 64))) for i in range(20000)})
+    data = np.frombuffer(b"".join(words), np.uint8)
+    end = np.cumsum([len(w) for w in words])
+    size = np.diff(end, prepend=0)
+    h1, h2 = piece_keys(data, end - size, size)
+    assert len(set(zip(h1.tolist(), h2.tolist(), strict=True))) == len(words)
+    again = piece_keys(np.frombuffer(b"zz" + words[-1] + b"q", np.uint8), np.array([2]), np.array([len(words[-1])]))
+    assert (again[0][0], again[1][0]) == (h1[-1], h2[-1])
