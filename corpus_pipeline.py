@@ -1,7 +1,8 @@
 """The corpus pipeline: five stages that are applied to the documents one after the other.
 
 Every stage takes (spark, docs, sf_dir) and works on all rows that the one before kept. All but the
-last return the columns of documents.
+last return the columns of documents. Null and empty texts, null ids, repeated rows, further columns
+and empty tables pass every stage; what each makes of them stands below.
 """
 
 from __future__ import annotations
@@ -14,28 +15,32 @@ from palimpsest.llm.common import save_shared, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier of op9 rejects go."""
+    """Documents that the classifier of op9 rejects go. Null and empty texts are scored as texts without words;
+    repeated rows each get their score; null ids are never learned from."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return toxicity.drop_toxic(docs, model)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of op3 stays, the one with the least id."""
+    """One document of each class of op3 stays, the one with the least id; a null id is the least only where there
+    is no other. Texts without words, null ones too, are linked to nothing and stay, repeated ones as well."""
     return ngram_join.deduplicate(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rule of op4 calls contaminated go."""
+    """Documents that the rule of op4 calls contaminated go, each of repeated rows. Null and empty texts have no
+    words and stay."""
     return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The spans of op7 are replaced in the texts; no document goes."""
+    """The spans of op7 are replaced in the texts; no document goes. Null and empty texts stay as they are."""
     return pii.redact_documents(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces and sequences of op10."""
+    """The pieces and sequences of op10. Null and empty texts are a piece of the end id alone, repeated rows are
+    pieces of their own, an empty table has none."""
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
