@@ -343,6 +343,8 @@ def _neighbourhood_links(sets: DataFrame, near: DataFrame, threshold: Fraction)
     rows = rows.join(sizes, "component").withColumn("chunk", F.pmod(F.xxhash64("nid"), F.col("chunks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     rows = rows.select("component", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "nid", "copies", "sig", "grams")
+    # dealt anew, or else all chunks of a component would meet in the task that the join on it chose
+    rows = rows.repartition("component", "i", "j")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         return _chunk_pair(pdf, threshold, least)
