@@ -184,11 +184,18 @@ _BEGIN = r"(?:(?<![A-Za-z0-9])|(?-i:(?<=[a-z])(?=[A-Z])))"
 _END = r"s?(?-i:(?![a-z])(?!(?<=[A-Z])[A-WYZ]))(?:(?<![0-9])|(?![0-9]))"
 
 
+#: Shapes that need no digit.
+WORDY = frozenset(("bank code", "handle", "place", "plate", "user name"))
+
+
 @dataclass(frozen=True)
 class Plan:
-    """The pattern of all labels of some categories, and the rules of each."""
+    """The pattern of all labels of some categories, those of values without and with a digit apart, and the
+    rules of each."""
 
     pattern: re.Pattern
+    wordy: re.Pattern
+    digital: re.Pattern
     hint: str
     rules: dict[str, list[tuple[Rule, re.Pattern]]]
 
@@ -209,13 +216,17 @@ def plan(categories: frozenset[str] | None) -> Plan | None:
     if not labels:
         return None
     body = tree(labels)
-    return Plan(re.compile(f"{_BEGIN}{body}{_END}", re.IGNORECASE), f"(?i)(?:{body})", rules)
-
-
-def find(text: str, some: Plan) -> Iterator[tuple[Rule, int, int, int]]:
-    """(rule, where its label ends, begin and end of the value) of every labelled value."""
-    for m in some.pattern.finditer(text):
-        key = folded(m[0])
-        for rule, value in some.rules.get(key) or some.rules.get(key.removesuffix("s"), ()):
-            if v := value.match(text, m.end()):
-                yield rule, m.end(), *v.span(1)
+    kinds = [[x for x in labels if any((r.shape in WORDY) == wordy for r, _ in rules[folded(x)])] for wordy in (True, False)]
+    patterns = [re.compile(f"{_BEGIN}{tree(some)}{_END}" if some else r"(?!)", re.IGNORECASE) for some in (labels, *kinds)]
+    return Plan(*patterns, f"(?i)(?:{body})", rules)
+
+
+def find(text: str, some: Plan, digits: bool, places: Iterable[tuple[int, int]]) -> Iterator[tuple[Rule, int, int, int]]:
+    """(rule, where its label ends, begin and end of the value) of every labelled value with a digit, or of those
+    whose shape needs none, whose labels stand in these places."""
+    for start, end in places:
+        for m in (some.digital if digits else some.wordy).finditer(text, start, end):
+            key = folded(m[0])
+            for rule, value in some.rules.get(key) or some.rules.get(key.removesuffix("s"), ()):
+                if (rule.shape not in WORDY) == digits and (v := value.match(text, m.end())):
+                    yield rule, m.end(), *v.span(1)

@@ -95,31 +95,55 @@ def protected(text: str, terms: Iterable[str] = ()) -> list[tuple[int, int]]:
     return merge(spans)
 
 
+#: Characters before and behind a digit among which a detector of digits, or a label of one, looks.
+BEFORE_DIGIT, AFTER_DIGIT = 400, 200
+_DIGITS = re.compile(r"[0-9](?:.{0,99}[0-9])?+", re.DOTALL)
+
+
+def near_digits(text: str) -> list[tuple[int, int]]:
+    """The parts of a text around its digits, in order and apart."""
+    out: list[tuple[int, int]] = []
+    for m in _DIGITS.finditer(text):
+        a, b = max(0, m.start() - BEFORE_DIGIT), min(len(text), m.end() + AFTER_DIGIT)
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], b)
+        else:
+            out.append((a, b))
+    return out
+
+
 def _candidates(text: str, some: Iterable[tuple[Detector, re.Pattern]], named: labels.Plan | None) -> Iterator[tuple[int, int, str, int, bool, int]]:
     """(begin, end, category, priority, unlabelled card, where the label ends) of all matches."""
+    whole, parts = ((0, len(text)),), near_digits(text)
     for d, pattern in some:
-        for m in pattern.finditer(text):
-            a, b = m.span(d.group)
-            if d.fit:
-                b = a + d.fit(text[a:b])
-            if a < b and (not d.check or d.check(text[a:b])):
-                yield a, b, d.category, d.priority, d.bare, m.start()
+        for start, end in parts if d.digit else whole:
+            for m in pattern.finditer(text, start, end):
+                a, b = m.span(d.group)
+                if d.fit:
+                    b = a + d.fit(text[a:b])
+                if a < b and (not d.check or d.check(text[a:b])):
+                    yield a, b, d.category, d.priority, d.bare, m.start()
     if named:
-        for rule, at, a, b in labels.find(text, named):
-            yield a, b, rule.category, rule.priority, False, at
+        for of_digits, places in ((False, whole), (True, parts)):
+            for rule, at, a, b in labels.find(text, named, of_digits, places):
+                yield a, b, rule.category, rule.priority, False, at
 
 
 def scan(text: str, categories: frozenset[str] | None = None, terms: Iterable[str] = (), some: Iterable[tuple[Detector, re.Pattern]] | None = None, named: bool = True) -> list[Match]:
     """The resolved matches of one text. ``some`` and ``named``: the detectors, and whether there are labels,
     that a look over the batch has left."""
-    keep = protected(text, terms)
     found: list[tuple[int, int, str, int]] = []
+    keep = None
     for a, b, category, priority, bare, label in _candidates(text, shapes(categories) if some is None else some, labels.plan(categories) if named else None):
         b = a + len(text[a:b].rstrip(" \t\r\n.,;:"))
         if category == "street_address":
             b = gates.own_line(text, a, b)
         value = text[a:b]
-        if gates.is_junk(value) or overlaps(a, b, keep):
+        if gates.is_junk(value):
+            continue
+        if keep is None:  # only a text with candidates is read for what is protected
+            keep = protected(text, terms)
+        if overlaps(a, b, keep):
             continue
         before = gates.line_before(text, a)
         if category == "payment_handle" and not gates.is_handle(value, text[label:a]):
