@@ -15,14 +15,21 @@ from ..functions.validators import digits
 
 #: Shortest value that is searched for, and the most values that are sent to every task (some 100 bytes each).
 LEAST, BROADCAST_VALUES = 4, 50_000
+#: Digits enough to be told whatever stands between them, and how many of them a value is joined by.
+_NUMBER, LEAD_DIGITS = re.compile(r"[0-9]{7,}"), 4
 #: Letters that a pattern takes for i, s and k when it ignores case.
 _FOLD = {0x130: "i", 0x131: "i", 0x17F: "s", 0x212A: "k"}
 
 
+def is_number(value: str) -> bool:
+    return bool(_NUMBER.fullmatch(value))
+
+
 def bounded(value: str) -> str:
     """A pattern for a value between bounds: no letter, digit or sign of an address or a longer number
-    may touch it; its white space is flexible."""
-    body = r"\s+".join(re.escape(w) for w in value.split())
+    may touch it; its white space is flexible. Seven digits and more may have a space or a hyphen between any
+    two of them."""
+    body = "[ -]?".join(value) if is_number(value) else r"\s+".join(re.escape(w) for w in value.split())
     left = r"(?<![^\W_])(?<![@.\-])" + (r"(?<![0-9][.,])" if value[:1].isdigit() else "")
     right = r"(?![^\W_])(?![@\-])" + (r"(?![.,][0-9])" if value[-1:].isdigit() else "")
     return left + body + right
@@ -46,6 +53,8 @@ def find_values(units: DataFrame, values: DataFrame, keys: tuple[str, ...] = ("d
 
 
 def _folded(value: str) -> str:
+    if is_number(bare := re.sub(r"[ -]", "", value)):
+        return bare
     return " ".join((value if value.isascii() else value.translate(_FOLD)).lower().split())
 
 
@@ -67,7 +76,8 @@ def _schema(rows: DataFrame, keys: tuple[str, ...], more: str) -> str:
 
 
 def _find_listed(units: DataFrame, listed: list[str], keys: tuple[str, ...], text_col: str) -> DataFrame:
-    first = {_folded(v).split()[0] for v in listed}
+    first = {_folded(v).split()[0] for v in listed if not is_number(v)}
+    digits_at = [v[:LEAD_DIGITS] for v in listed if is_number(v)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         find = _finder(listed)
@@ -78,7 +88,8 @@ def _find_listed(units: DataFrame, listed: list[str], keys: tuple[str, ...], tex
                 if not text:
                     continue
                 low = (text if text.isascii() else text.translate(_FOLD)).lower()
-                if not any(f in low for f in first):
+                bare = re.sub(r"[ -]", "", low) if digits_at else ""
+                if not any(f in low for f in first) and not any(d in bare for d in digits_at):
                     continue
                 out += [(*(getattr(row, k) for k in keys), *m) for m in find(text)]
             yield pd.DataFrame(out, columns=[*keys, "value", "begin", "end"])
@@ -89,8 +100,13 @@ def _find_listed(units: DataFrame, listed: list[str], keys: tuple[str, ...], tex
 def _find_joined(units: DataFrame, known: DataFrame, keys: tuple[str, ...], text_col: str) -> DataFrame:
     word, texts = r"[\p{L}\p{N}]+", units.select(*keys, text_col)
     fold = lambda c: F.lower(F.translate(c, "".join(map(chr, _FOLD)), "".join(_FOLD.values())))
-    table = known.withColumn("lead", fold(F.regexp_extract("value", word, 0)))
+    number = F.col("value").rlike("^[0-9]{7,}$")
+    table = known.withColumn("lead", F.when(number, F.concat(F.lit("#"), F.substring("value", 1, LEAD_DIGITS))).otherwise(fold(F.regexp_extract("value", word, 0))))
     leads = F.regexp_extract_all(fold(F.col(text_col)), F.lit(word), F.lit(0))
+    # of digits with single signs between them every few in a row, as a value may begin at any
+    runs = F.transform(F.regexp_extract_all(F.col(text_col), F.lit("[0-9](?:[ -]?[0-9]){6,}"), F.lit(0)), lambda r: F.regexp_replace(r, "[ -]", ""))
+    pieces = F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - LEAD_DIGITS + 1), lambda i: F.concat(F.lit("#"), F.substr(r, i, F.lit(LEAD_DIGITS))))))
+    leads = F.concat(leads, pieces)
     # A value without a word has an empty lead, which every text holds.
     words = units.select(*keys, F.explode(F.array_distinct(F.concat(leads, F.array(F.lit(""))))).alias("lead"))
     pairs = words.join(table, "lead").select(*keys, "value").distinct()

@@ -190,15 +190,16 @@ _MATCH = T.StructType([T.StructField("begin", T.IntegerType()), T.StructField("e
 _ARROW_MATCH = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("category", pa.string()), ("priority", pa.int32()), ("value", pa.string())]))
 
 
-def scan_units(units: DataFrame, enabled: Iterable[str] | None = None, text_col: str = "text", terms: tuple[str, ...] = ()) -> DataFrame:
+def scan_units(units: DataFrame, enabled: Iterable[str] | None = None, text_col: str = "text", terms: tuple[str, ...] = (), more: tuple[Detector, ...] = ()) -> DataFrame:
     """The units with ``matches``: an array of (begin, end, category, priority, value), resolved.
 
     Offsets are code points. A null text has no matches. ``enabled``: the categories that are looked for.
+    ``more``: detectors of the caller's own, with checks of their own.
     """
     wanted = frozenset(enabled) if enabled is not None else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chosen, named = shapes(wanted), labels.plan(wanted)
+        chosen, named = (*shapes(wanted), *((d, d.compiled()) for d in more)), labels.plan(wanted)
         for batch in batches:
             texts = pc.fill_null(batch.column(batch.schema.get_field_index(text_col)), "")
             digit = pc.match_substring_regex(texts, "[0-9]")

@@ -540,7 +540,7 @@ union all select doc_id, n_name, cast(18 + length(n_name) as integer), cast(18 +
 """)
 def j2_known_values(spark, sf_dir):
     n = table(spark, sf_dir, "nation")
-    c = table(spark, sf_dir, "customer").join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name")
+    c = table(spark, sf_dir, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name")
     u = table(spark, sf_dir, "orders").join(c, F.col("o_custkey") == F.col("c_custkey"))
     u = u.select(F.col("o_orderkey").alias("doc_id"), F.concat(F.lit("Ship to "), "n_name", F.lit(", then to "), F.lower("n_name"), F.lit(".")).alias("text"))
     return literals.find_values(u, n.select(F.col("n_name").alias("value")))
@@ -583,7 +583,7 @@ select s_suppkey as doc_id, 'New ' || replace(n_name, '_', ' ') as place from su
 def j13_longest_place(spark, sf_dir):
     n = table(spark, sf_dir, "nation").withColumn("n_name", F.replace("n_name", F.lit("_"), F.lit(" ")))
     gazetteer = n.select(F.col("n_name").alias("name")).unionByName(n.select(F.concat(F.lit("NEW "), "n_name").alias("name")))
-    t = table(spark, sf_dir, "supplier").join(F.broadcast(n), F.col("s_nationkey") == F.col("n_nationkey"))
+    t = table(spark, sf_dir, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey"))
     t = t.select(F.col("s_suppkey").alias("doc_id"), F.concat(F.lit("resident of New "), "n_name", F.lit(" near "), "n_name").alias("text"))
     return literals.longest_known(t, gazetteer)
 

@@ -65,10 +65,10 @@ _SCREEN = {"no_no": (False, "business", "other"), "no_yes": (False, "person", "p
 
 @query(_case_sql({n: w for n, (_, _, w) in _SCREEN.items()}, "label"))
 def e3_name_screen(spark, sf_dir):
-    rows = spark.createDataFrame([(n, a, b) for n, (a, b, _) in _SCREEN.items()], "case string, says boolean, parsed string")
-    label = F.udf(gates.screen, T.StringType())  # five rows
-    told = rows.select("case", label("says", "parsed").alias("label"))
-    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")).join(F.broadcast(told), F.lit(True)).select("id", "case", "label")
+    label = F.udf(gates.screen, T.StringType())
+    made = F.array(*[F.struct(F.lit(n).alias("case"), F.lit(a).cast("boolean").alias("says"), F.lit(b).cast("string").alias("parsed")) for n, (a, b, _) in _SCREEN.items()])
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.explode(made).alias("m"))
+    return rows.select("id", "m.case", label("m.says", "m.parsed").alias("label"))
 
 
 # -- proposals --------------------------------------------------------------------------------
@@ -150,8 +150,8 @@ _RULES = {
 @query(" union all ".join(f"select c_custkey || '|{n}' as id, '{d}' as decision, {'null' if t is None else repr(t)} as target from customer" for n, (_, d, t) in _RULES.items()))
 def j10_file_match(spark, sf_dir):
     kinds = {c: ("string" if c in ("category", "key", "above_key", "owner") else "boolean") for c in _FACTS}
-    facts = spark.createDataFrame([(n, *(f.get(c) for c in _FACTS)) for n, (f, _, _) in _RULES.items()], "rule string, " + ", ".join(f"{c} {t}" for c, t in kinds.items()))
-    rows = table(spark, sf_dir, "customer").select("c_custkey").join(F.broadcast(facts), F.lit(True))
+    facts = F.array(*[F.struct(F.lit(n).alias("rule"), *[F.lit(f.get(c)).cast(t).alias(c) for c, t in kinds.items()]) for n, (f, _, _) in _RULES.items()])
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.explode(facts).alias("f")).select("c_custkey", "f.*")
     return parties.file_match(rows.withColumn("id", F.concat_ws("|", F.col("c_custkey").cast("string"), "rule")))
 
 

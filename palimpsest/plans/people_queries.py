@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import graph, grouping, parties, people, registry
+from ..operators import graph, grouping, literals, parties, people, registry
 from ..sources import files
 from .catalog import _FIRST, _LAST, _key, _names, _pad, query, table
 
@@ -109,6 +109,18 @@ def k7_k8_file_names(spark, sf_dir):
     return files.scrub_names(paths, ["Jane Roe"])
 
 
+@query(f"""
+with k as (select c_custkey as k, cast(300000000000 + c_custkey * 7919 as varchar) as d from customer)
+select k as doc_id, d as value, cast(5 as integer) as "begin", cast(19 as integer) as "end" from k union all select k, d, 24, 36 from k
+""")
+def j2_numbers_with_signs(spark, sf_dir):
+    """A number is found however its digits are parted, but not inside a sum."""
+    d = (F.lit(300000000000) + F.col("c_custkey") * 7919).cast("string")
+    text = F.concat(F.lit("acct "), F.substring(d, 1, 4), F.lit(" "), F.substring(d, 5, 4), F.lit("-"), F.substring(d, 9, 9), F.lit(" is "), F.lit(" "), d, F.lit(" not "), d, F.lit(".50"))
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), text.alias("text"), d.alias("value"))
+    return literals.find_values(rows.select("doc_id", "text"), rows.select("value"))
+
+
 @query("""
 with r as (select case c_custkey % 4 when 0 then 'Bob' when 1 then 'Liz' when 2 then 'Pat' else 'Xavier' end as name from customer)
 select distinct name, case name when 'Bob' then 'Robert Roe' else 'Elizabeth Roe' end as party from r where name in ('Bob', 'Liz')

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import tables
-from ..sources import delivery, files
+from ..sources import delivery, files, pages
 from .catalog import query, table
 
 #: A page of a payment ledger: row, x0, x1, text. The heading has four cells, the second payment lacks its note,
@@ -64,6 +64,20 @@ def j21_child_tables(spark, sf_dir):
     return tables.child_rows(tables.aligned(tables.tables(_cells(spark, sf_dir, _CHILDREN))))
 
 
+@query("select page_id as file_hash, e as engine, 0 as page from pages, (select unnest(['a', 'b']) as e) where not (page_id % 3 = 0 and e = 'a')")
+def s16_unread_pages(spark, sf_dir):
+    p = table(spark, sf_dir, "pages").select(F.col("page_id").alias("file_hash"), F.lit(0).alias("page"), F.explode(F.array(F.lit("a"), F.lit("b"))).alias("engine"))
+    return pages.unread_pages(p, p.where("file_hash % 3 = 0 and engine = 'a'"))
+
+
+@query("select c_custkey as path, 0 as page, 'person' as category, case when c_custkey % 2 = 0 then 'Jane  Roe' else 'JANE ROE' end as value, cast(case when c_custkey % 2 = 0 then 2 else 1 end as bigint) as engines from customer")
+def s15_readings_together(spark, sf_dir):
+    k = F.col("c_custkey")
+    found = F.array_compact(F.array(F.when(k % 2 == 0, F.struct(F.lit("a").alias("engine"), F.lit("Jane  Roe").alias("value"))), F.struct(F.lit("b").alias("engine"), F.lit("JANE ROE").alias("value"))))
+    rows = table(spark, sf_dir, "customer").select(k.alias("path"), F.lit(0).alias("page"), F.lit("person").alias("category"), F.explode(found).alias("f")).select("path", "page", "category", "f.*")
+    return pages.together(rows)
+
+
 _W = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
 
 
