@@ -167,7 +167,8 @@ def test_numbers_with_signs_agree_on_both_ways(spark, monkeypatch):
     texts = ["acct 3357 3537 2072 and 335735372072, 33-57353-72072 not 3,357,353.72", "x3357 35372072 or 9335735372072", "33573537 2072 33573537", None, "1234-567 12345678"]
     u = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     v = spark.createDataFrame([("335735372072",), ("33573537",), ("1234567",), ("Roe 1234567",)], "value string")
-    listed = sorted(tuple(r) for r in literals.find_values(u, v).collect())
-    assert [texts[d][a:b] for d, _, a, b in listed] == ["3357 3537 2072", "335735372072", "33-57353-72072", "33573537 2072", "33573537", "1234-567"]
+    found = lambda: sorted((r.doc_id, r.begin, r.end, r.value) for r in literals.find_values(u, v).collect())
+    listed = found()
+    assert [texts[d][a:b] for d, a, b, _ in listed] == ["3357 3537 2072", "335735372072", "33-57353-72072", "33573537 2072", "33573537", "1234-567"]
     monkeypatch.setattr(literals, "BROADCAST_VALUES", 0)
-    assert sorted(tuple(r) for r in literals.find_values(u, v).collect()) == listed
+    assert found() == listed
