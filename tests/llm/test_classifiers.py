@@ -222,7 +222,7 @@ def test_clean_words_are_left_alone(sf_dir):
     model = secrets.fit_texts(texts[:600])
     clean = [t for t in texts[600:] if t and not any(secrets.find_base(t).values())]
     found = sum(map(len, secrets.find_learned(model, clean, [secrets.find_base(t) for t in clean])))
-    assert found < 0.25 * sum(len(secrets.candidates(t)) for t in clean)
+    assert found < 0.02 * sum(len(secrets.candidates(t)) for t in clean) + 5
 
 
 def test_secret_gradients_equal_differences():
