@@ -54,10 +54,12 @@ def scan_line_accounts(lines: DataFrame, accounts: DataFrame) -> DataFrame:
     """Digit runs of 20 to 60 with the longest known account number inside: doc_id, line_no, run, account.
     No digit or hyphen touches a run, and a number has six digits at least.
 
-    Runs and numbers meet on every six-digit piece of the run, so the join is an equi join; the whole
-    number is verified."""
+    Runs and numbers meet on the whole number: every piece of a run that is as long as some number is a key,
+    so numbers that begin alike are no hot key. The different lengths of numbers go to the driver."""
     runs = lines.select("doc_id", "line_no", F.explode(F.regexp_extract_all("text", F.lit("(?<![0-9-])[0-9]{20,60}(?![0-9-])"), F.lit(0))).alias("run"))
-    keyed = runs.withColumn("k", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("run") - 5), lambda i: F.substr("run", i, F.lit(6))))))
-    known = accounts.where(F.length("account") >= 6).select("account", F.substring("account", 1, 6).alias("k"))
-    hit = keyed.join(known, "k").where(F.instr(F.col("run"), F.col("account")) > 0)
+    known = accounts.where(F.length("account").between(6, 60)).select("account").distinct()
+    sizes = sorted(r[0] for r in known.select(F.length("account")).distinct().collect())
+    pieces = lambda n: F.when(F.length("run") >= n, F.transform(F.sequence(F.lit(1), F.length("run") - n + 1), lambda i: F.substr("run", i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    keys = F.concat(F.array().cast("array<string>"), *map(pieces, sizes))
+    hit = runs.withColumn("account", F.explode(F.array_distinct(keys))).join(known, "account")
     return hit.groupBy("doc_id", "line_no", "run").agg(F.max_by("account", F.struct(F.length("account"), "account")).alias("account"))

@@ -181,6 +181,8 @@ def _settle(text: str, found: list[Match]) -> list[Match]:
 
 def _hint(d: Detector) -> str | None:
     """A pattern without look-around that every text with a match matches."""
+    if d.hint:
+        return d.hint
     if d.words:
         return "(?i)" + "|".join(re.escape(w) for w in d.words)
     return r"[0-9]" if d.digit else None
