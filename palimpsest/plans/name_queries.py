@@ -33,7 +33,7 @@ ADDRESSES = {"street": ("{k}1 Oak Lane", True), "grid": ("1{k} E 400 S", True),
 BUSINESSES = {"llc": ("Roe Design LLC", True), "clinic": ("Oak {k} Clinic", True), "first": ("Company", False), "name": ("Jane Roe", False)}
 TAILS = {"payment": ("Cody Roe Payment Ref", "Cody Roe"), "two": ("Cody Savings", "Cody Savings"), "none": ("Cody B Roe", "Cody B Roe")}
 ORDINARY = {"function": ("The", True), "form": ("Amount", True), "role": ("Judge", True), "name": ("Roebuck", False)}
-LIKELY = {"heading": ("Maturity Date", False), "rail": ("Spotify Usa", False), "given": ("Mike Miller", True), "known": ("Okon Design", True), "place": ("San Jose", False), "ordinary": ("Add Money", False), "name": ("Thomas Larsen", True)}
+LIKELY = {"heading": ("Maturity Date", False), "rail": ("Spotify Usa", False), "given": ("Mike Miller", True), "known": ("Okon Design", True), "place": ("San Jose", False), "ordinary": ("Add Money", False), "name": ("Gustav Lindell", True)}
 PROPOSED = {"long": ("a b c d e f", False), "short": ("Ro", False), "mask": ("XXXX Roe", False), "digits": ("A{k}0", False), "form": ("Statement", False), "name": ("Jane Roe", True)}
 HOLDS = {"inside": ("instagram.com/janeroebuck{k}", True), "word": ("al.example.com", True), "part": ("algebra.example.com", False), "none": ("example.com/{k}", False)}
 
@@ -76,26 +76,26 @@ def e3_name_screen(spark, sf_dir):
 HARVESTS = {
     "h1_caption_parties": {"roles": (found("party", "MARIA KELLER"), ",\n    Petitioner,\nv.\n", found("party", "JOHN NOVAK"), ",\n    Respondent. ", Digits(3)), "former": ("Petitioner ", found("party", "Maria Keller"), ", formerly known as ", found("former", "Maria Ortega"), ", ", Digits(3))},
     "h2_officials": {
-        "title": ("Judge ", found("official", "Amber M. Corwin"), " ruled on ", Digits(3)), "after": (found("official", "Amber Corwin"), ", District Court Judge ", Digits(3)),
-        "signed": ("BY THE COURT:\n\n______\n/s/ ", found("official", "Amber Corwin"), "\n", Digits(3)), "below": (found("official", "AMBER CORWIN"), "\nDISTRICT COURT JUDGE ", Digits(3)), "clerk": ("by ", found("official", "Delia Farns"), ", Clerk of the Court ", Digits(3)),
+        "title": ("Judge ", found("official", "Ingrid T. Halvors"), " ruled on ", Digits(3)), "after": (found("official", "Ingrid Halvors"), ", District Court Judge ", Digits(3)),
+        "signed": ("BY THE COURT:\n\n______\n/s/ ", found("official", "Ingrid Halvors"), "\n", Digits(3)), "below": (found("official", "INGRID HALVORS"), "\nDISTRICT COURT JUDGE ", Digits(3)), "clerk": ("by ", found("official", "Petra Weiler"), ", Clerk of the Court ", Digits(3)),
     },
-    "h3_children": {"born": ("the child ", found("child", "Marisol Ashby"), " Born: December 2017, ", Digits(3)), "custody": ("sole custody of the minor child, ", found("child", "Rowan Ashby"), ", is ", Digits(3))},
+    "h3_children": {"born": ("the child ", found("child", "Lena Marlow"), " Born: November 2016, ", Digits(3)), "custody": ("sole custody of the minor child, ", found("child", "Kai Marlow"), ", is ", Digits(3))},
     "h4_places": {"resides": ("Mother resides in ", found("place", "Pleasant Grove"), ". ", Digits(3)), "zip": ("see\n", found("place", "West Jordan"), ", UT 84088\n", Digits(3)), "moved": ("They moved to ", found("place", "Roosevelt"), ". ", Digits(3)), "located": ("It is located in ", found("place", "Provo"), ". ", Digits(3)), "state": ("a house in ", found("place", "Ogden"), ", UT for ", Digits(3))},
     "h5_counterparties": {
-        "rail": ("Zelle to ", found("counterparty", "Carmen Lattimer"), " ", Digits(3)), "credit": ("ZELLE CREDIT ", found("counterparty", "JESSICA COOKE"), " ", Digits(3)), "check": ("CHECK 1042 TO ", found("counterparty", "D. TORVIK"), " ", Digits(3)),
-        "ach": ("ACH PMT FROM ", found("counterparty", "DOUGLAS VANDEN"), " ", Digits(3)), "star": ("PAYPAL *", found("counterparty", "HOLLENBECK"), " ", Digits(3)), "site": ("Website Payment - ", found("counterparty", "Tyler Foster"), " ID: R", Digits(3)), "p2p": ("VENMO TYPE: P2P CO: ", found("counterparty", "MADISON HARRIS"), " $", Digits(3), ".00"),
+        "rail": ("Zelle to ", found("counterparty", "Nora Feldstein"), " ", Digits(3)), "credit": ("ZELLE CREDIT ", found("counterparty", "PAULA BRANDT"), " ", Digits(3)), "check": ("CHECK 1042 TO ", found("counterparty", "D. MELZER"), " ", Digits(3)),
+        "ach": ("ACH PMT FROM ", found("counterparty", "MARTIN OSTROW"), " ", Digits(3)), "star": ("PAYPAL *", found("counterparty", "WIESINGER"), " ", Digits(3)), "site": ("Website Payment - ", found("counterparty", "Hannes Bremer"), " ID: R", Digits(3)), "p2p": ("VENMO TYPE: P2P CO: ", found("counterparty", "GRETA LINDNER"), " $", Digits(3), ".00"),
         "none": ("WIRE TO BANK OF THE WEST ", Digits(3)),
     },
-    "h7_holders": {"street": (found("holder", "OAKLEY V WARD"), "\n12469 W CENTER ST\n", Digits(3)), "card": ("New Charges  ", found("cardholder", "BRIAN ROBERTS"), " Card Ending 2-3", Digits(3)), "for": ("Statement for ", found("holder", "Alyssa Valdez"), " ", Digits(3))},
+    "h7_holders": {"street": (found("holder", "HELGA V STROM"), "\n12469 W CENTER ST\n", Digits(3)), "card": ("New Charges  ", found("cardholder", "ALBERT KRAUSE"), " Card Ending 2-3", Digits(3)), "for": ("Statement for ", found("holder", "Irene Castell"), " ", Digits(3))},
     "h8_employers": {
-        "field": ("Employer: ", found("employer", "Brightwater Dental Partners"), "\n", Digits(3)), "deposit": ("DIRECT DEP ", found("employer", "CASCADIA FREIGHT"), " PAYROLL 2,", Digits(3), ".66"), "payroll": ("1/10 ", found("employer", "Northpoint Aeros"), " Payroll PPD ID: ", Digits(3)),
-        "plan": (found("employer", "NORTHPOINT AEROSPACE"), " 401(K) SAVINGS PLAN ", Digits(3)), "stub": (found("employer", "RED ROCK SUPPLY ARTS HOUSE"), "\n595 S Bluff St\nEARNINGS STATEMENT\nNet Pay ", Digits(3)), "paid": ("Employer: Carmen Lattimer\nZelle to ", found("counterparty", "Carmen Lattimer"), " ", Digits(3)),
+        "field": ("Employer: ", found("employer", "Silverpine Optical Partners"), "\n", Digits(3)), "deposit": ("DIRECT DEP ", found("employer", "MERIDIAN HAULAGE"), " PAYROLL 2,", Digits(3), ".66"), "payroll": ("1/10 ", found("employer", "Eastgate Turbin"), " Payroll PPD ID: ", Digits(3)),
+        "plan": (found("employer", "EASTGATE TURBINES"), " 401(K) SAVINGS PLAN ", Digits(3)), "stub": (found("employer", "GREEN HOLLOW SUPPLY ARTS HOUSE"), "\n595 S Bluff St\nEARNINGS STATEMENT\nNet Pay ", Digits(3)), "paid": ("Employer: Nora Feldstein\nZelle to ", found("counterparty", "Nora Feldstein"), " ", Digits(3)),
     },
-    "h9_own_businesses": {"street": (found("business", "HARRINGTON ENTERPRISES LLC"), "\n2279 E 5950 S\n", Digits(3)), "bank": ("Wasatch Front Mortgage Co\n123 Main St\n", Digits(3)), "receiver": ("X DES:TRANSFER INDN:", found("business", "HIGH DESERT DESIGN CO"), " CO ID:1", Digits(3))},
-    "h10_labelled_people": {"label": ("Borrower: ", found("person", "Jane Roebuck"), "\n", Digits(3)), "receiver": ("DES:X INDN:", found("receiver", "OAKLEY V WARD"), " CO ID:5", Digits(3))},
+    "h9_own_businesses": {"street": (found("business", "STROM ENTERPRISES LLC"), "\n2279 E 5950 S\n", Digits(3)), "bank": ("Lakeside Home Mortgage Co\n123 Main St\n", Digits(3)), "receiver": ("X DES:TRANSFER INDN:", found("business", "TALL PINES DESIGN CO"), " CO ID:1", Digits(3))},
+    "h10_labelled_people": {"label": ("Borrower: ", found("person", "Jane Roebuck"), "\n", Digits(3)), "receiver": ("DES:X INDN:", found("receiver", "HELGA V STROM"), " CO ID:5", Digits(3))},
     "h11_activity": {
-        "feed": ("Uber Technologies   -$204.81\n", found("feed", "Brynlee Long"), "   +$226.00\n", Digits(3)), "ledger": ("Note   From   To\n", found("feed", "Leilani Fontana"), "   ", found("feed", "Anthony Garcia"), "   +$138.50\n", Digits(3)),
-        "sent": ("01/02 Sent   ", found("feed", "Marissa Lindquist"), "   -$490.83 ", Digits(3)),
+        "feed": ("Orbit Technologies   -$118.40\n", found("feed", "Selma Dorn"), "   +$75.00\n", Digits(3)), "ledger": ("Note   From   To\n", found("feed", "Ruth Hagen"), "   ", found("feed", "Viktor Sund"), "   +$64.20\n", Digits(3)),
+        "sent": ("01/02 Sent   ", found("feed", "Paula Ekberg"), "   -$212.75 ", Digits(3)),
     },
 }
 
@@ -173,10 +173,10 @@ def j6_misread_pieces(spark, sf_dir):
     return people.misread_pieces(rows.select(F.explode(made).alias("token")), rows)
 
 
-@query("select 'Amber M. Corwin' as name, 'Amber M. Corwin' as term union all select 'Delia Farns', 'Delia Farns' union all select 'Delia Farns', 'Farns' union all select 'Bo Roe', 'Bo Roe' where exists (select 1 from customer)")
+@query("select 'Ingrid T. Halvors' as name, 'Ingrid T. Halvors' as term union all select 'Petra Weiler', 'Petra Weiler' union all select 'Petra Weiler', 'Farns' union all select 'Bo Roe', 'Bo Roe' where exists (select 1 from customer)")
 def j16_protected_officials(spark, sf_dir):
     """A party's namesake goes, a last name that a party bears stays whole only, a short one too."""
-    one = table(spark, sf_dir, "customer").limit(1).select(F.explode(F.array(*map(F.lit, ("Amber M. Corwin", "Delia Farns", "Maria Keller", "Bo Roe")))).alias("name"))
+    one = table(spark, sf_dir, "customer").limit(1).select(F.explode(F.array(*map(F.lit, ("Ingrid T. Halvors", "Petra Weiler", "Maria Keller", "Bo Roe")))).alias("name"))
     sheet = table(spark, sf_dir, "customer").select(F.concat_ws(" ", *(_names()[i] for i in (0, 2))).alias("name")).distinct().unionByName(spark.createDataFrame([("Peter Corwin",)], "name string"))
     return people.protected_officials(one, sheet)
 
@@ -207,12 +207,12 @@ def j20_caption_roles(spark, sf_dir):
     return people.caption_roles(rows)
 
 
-@query("select c_custkey as doc_id, unnest(['Marisol Shai Ashby', 'Duke Ashby']) as name, unnest(['December 2017', '07/15/2018']) as born from customer where c_custkey % 3 <> 0")
+@query("select c_custkey as doc_id, unnest(['Lena Ruth Marlow', 'Theo Marlow']) as name, unnest(['November 2016', '05/21/2019']) as born from customer where c_custkey % 3 <> 0")
 def j21_child_roster(spark, sf_dir):
     """Documents whose key is divisible by three have no cue, only the bare word."""
     k = F.col("c_custkey")
     cue = F.when(k % 3 == 0, "cases involving the parties' children.").otherwise("The petition concerned the following child.")
-    text = F.array(cue, F.lit("prose"), F.lit("Marisol Shai Ashby Born: December 2017"), F.lit("a. Duke Ashby Born 07/15/2018"), *[F.lit("prose")] * 9, F.lit("Late Comer Born: May 2001"))
+    text = F.array(cue, F.lit("prose"), F.lit("Lena Ruth Marlow Born: November 2016"), F.lit("a. Theo Marlow Born 05/21/2019"), *[F.lit("prose")] * 9, F.lit("Late Comer Born: May 2001"))
     return people.children_below_cues(table(spark, sf_dir, "customer").select(k.alias("doc_id"), F.posexplode(text).alias("line_no", "text")))
 
 
