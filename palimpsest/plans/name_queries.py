@@ -173,11 +173,11 @@ def j6_misread_pieces(spark, sf_dir):
     return people.misread_pieces(rows.select(F.explode(made).alias("token")), rows)
 
 
-@query("select 'Ingrid T. Halvors' as name, 'Ingrid T. Halvors' as term union all select 'Petra Weiler', 'Petra Weiler' union all select 'Petra Weiler', 'Farns' union all select 'Bo Roe', 'Bo Roe' where exists (select 1 from customer)")
+@query("select 'Ingrid T. Halvors' as name, 'Ingrid T. Halvors' as term union all select 'Petra Weiler', 'Petra Weiler' union all select 'Petra Weiler', 'Weiler' union all select 'Bo Roe', 'Bo Roe' where exists (select 1 from customer)")
 def j16_protected_officials(spark, sf_dir):
     """A party's namesake goes, a last name that a party bears stays whole only, a short one too."""
     one = table(spark, sf_dir, "customer").limit(1).select(F.explode(F.array(*map(F.lit, ("Ingrid T. Halvors", "Petra Weiler", "Maria Keller", "Bo Roe")))).alias("name"))
-    sheet = table(spark, sf_dir, "customer").select(F.concat_ws(" ", *(_names()[i] for i in (0, 2))).alias("name")).distinct().unionByName(spark.createDataFrame([("Peter Corwin",)], "name string"))
+    sheet = table(spark, sf_dir, "customer").select(F.concat_ws(" ", *(_names()[i] for i in (0, 2))).alias("name")).distinct().unionByName(spark.createDataFrame([("Peter Halvors",)], "name string"))
     return people.protected_officials(one, sheet)
 
 
