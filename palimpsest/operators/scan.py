@@ -30,7 +30,7 @@ _PARAGRAPH = r"\d[\w.-]*\w?(?:\(\w{1,4}\))*"
 _CAPITALS = r"[A-Z][\w'’-]*\.?"
 _REPORTER = r"(?:U\.\s?S\.|S\.\s?Ct\.|L\.\s?Ed\.(?:\s?2d)?|F\.(?:\s?[234](?:d|th))?|F\.\s?Supp\.(?:\s?[23]d)?|[PA]\.(?:\s?[23]d)?|N\.\s?[EW]\.(?:\s?2d)?|S\.\s?[EW]\.(?:\s?2d)?|So\.(?:\s?[23]d)?)"
 _CITATION = rf"(?:\d{{4}}\s+[A-Z]{{2}}(?:\s+App\.?)?\s+\d+|\d+\s+{_REPORTER}\s+\d+)"
-_TITLE_OF_COURT = r"(?:Judge|Justice|Commissioner|Magistrate|Hon\.|Honorable)"
+_TITLE_OF_COURT = r"(?:Judge|Justice|Commissioner|Magistrate|Referee|Hearing\s+Officer|Hon\.|Honorable):?"
 #: Citations of law and names of courts and their officers, which are never findings; each with what a
 #: text must hold to have any.
 ALLOWED = tuple(
@@ -45,6 +45,7 @@ ALLOWED = tuple(
         ("R.", rf"\b(?:[A-Z][a-z]+\.?\s+)?R\.\s+(?:[A-Z][a-z]*\.\s+){{1,3}}{_PARAGRAPH}"),
         ("", rf"(?:\b{_CAPITALS}(?:\s+{_CAPITALS}){{0,3}}\s+vs?\.?\s+{_CAPITALS}(?:\s+{_CAPITALS}){{0,3}},\s+)?\b{_CITATION}"),
         ("", rf"\b{_TITLE_OF_COURT}\s+{_CAPITALS}(?:\s+{_CAPITALS}){{0,3}}"),
+        ("", rf"\b{_CAPITALS}(?:\s+{_CAPITALS}){{1,3}},?\s+(?:\w+\s+)?(?:(?i:district)\s+)?(?i:court)\s+(?i:judge|commissioner)\b"),
         ("Judicial", r"\b[A-Z][a-z]+\s+Judicial\s+District(?:\s+Court)?"),
         ("Court", r"\b(?:District|Superior|Supreme|Circuit|Juvenile|Justice|Appellate)\s+Court(?:\s+(?:of|for)\s+(?:the\s+)?[A-Z]\w+)?"),
         ("Clerk", r"\b(?:Court\s+Clerk|Clerk\s+of\s+(?:the\s+)?(?:\w+\s+)?Court)\b"),

@@ -71,6 +71,20 @@ def test_docx_round_trip():
     assert delivery.rewrite_docx(data, {})[1] == 0
 
 
+def test_archives_are_read_inside_archives():
+    def pack(**held):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            for name, data in held.items():
+                z.writestr(name.replace("__", "."), data)
+        return out.getvalue()
+
+    inner = pack(b__txt=b"inside", c__bin=b"no text")
+    data = pack(a__txt=b"one", z__zip=inner, d__docx=small_docx("two"), bad__docx=b"broken")
+    assert files.read_any("x.zip", data) == "a.txt\none\nbad.docx\n\nd.docx\ntwo\nz.zip\nb.txt\ninside"
+    assert files.read_any("x.zip", b"broken") == ""
+
+
 def test_archives_and_feedback(spark, tmp_path):
     rows = spark.createDataFrame([(1, "b.txt", bytearray(b"2")), (1, "a.txt", bytearray(b"1")), (2, "c.txt", bytearray(b"3"))], "set_id long, name string, content binary")
     for r in delivery.archives(rows).collect():
