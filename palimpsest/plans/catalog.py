@@ -47,7 +47,8 @@ def _key(c: str, n: int):
 
 #: The plain detectors whose matches RE2 finds as well: the digits around them are consumed and put back.
 PHONE, IPV4, EMAIL = r"\+1 \([0-9]{3}\) 555-[0-9]{4}", r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.-]*[A-Za-z0-9]"
-CARD16 = r"[0-9]{16,}"
+#: Area codes of numbers that are free to call, which are no findings.
+FREE = str(scan.FREE_CODES)
 
 
 def _simple_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,7 +141,7 @@ def s18_html_text(spark, sf_dir):
 # -- detectors --------------------------------------------------------------------------------
 @query(rf"""
 with m as (select doc_id, 'phone' as category, unnest(regexp_extract_all(text, '{PHONE}')) as value from documents)
-select category, value, count(*) as n, count(distinct doc_id) as documents from m group by all
+select category, value, count(*) as n, count(distinct doc_id) as documents from m where substr(value, 5, 3) not in {FREE} group by all
 """)
 def d0_phones(spark, sf_dir):
     m = _simple_matches(spark, sf_dir).where("category = 'phone'")
@@ -424,7 +425,7 @@ def f13_name_scores(spark, sf_dir):
 # -- registry, numbering, rewriting -----------------------------------------------------------
 _FOUND = rf"""
 e as (select doc_id, unnest(regexp_extract_all(text, '{EMAIL}')) as value, 'email' as category from documents),
-t as (select doc_id, unnest(regexp_extract_all(text, '{PHONE}')) as value, 'phone' as category from documents),
+t as (select * from (select doc_id, unnest(regexp_extract_all(text, '{PHONE}')) as value, 'phone' as category from documents) where substr(value, 5, 3) not in {FREE}),
 i as (select doc_id, value, 'ip_address' as category from (select doc_id, unnest(regexp_extract_all(text, '\b{IPV4}\b')) as value from documents)
 where list_max(list_transform(string_split(value, '.'), lambda x: cast(x as integer))) <= 255),
 f as (select * from e union all select * from t union all select * from i)
@@ -472,7 +473,7 @@ _CARD_OK = _LUHN.replace("substr(v, ", "substr(x, ") + " = 0"
 def _rewriting(kinds: tuple[str, ...]) -> str:
     """The rewritten documents: found values in order, numbered by first appearance for each tag, put between the
     pieces of text that they part."""
-    kind = f"case when contains(x, '@') then 'email' when x[1] = '+' then 'phone' when contains(x, '.') then 'ip_address' when {_CARD_OK} then 'credit_card' end"
+    kind = f"case when contains(x, '@') then 'email' when x[1] = '+' then case when substr(x, 5, 3) not in {FREE} then 'phone' end when contains(x, '.') then 'ip_address' when {_CARD_OK} then 'credit_card' end"
     tag = "case category when 'email' then 'EMAIL' when 'phone' then 'PHONE' when 'ip_address' then 'IP' else 'CARD' end"
     listed = ", ".join(f"'{k}'" for k in kinds)
     return rf"""
