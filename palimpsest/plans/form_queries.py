@@ -49,6 +49,27 @@ def s2_document_texts(spark, sf_dir):
     return files.texts(rows)
 
 
+_W = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+
+
+def _docx_table(k: int) -> bytearray:
+    import io
+    import zipfile
+
+    cell = lambda t: f"<w:tc><w:p><w:r><w:t>{t}</w:t></w:r></w:p></w:tc>"
+    rows = "".join(f"<w:tr>{cell(a)}{cell(b)}</w:tr>" for a, b in (("Account", "Value"), (f"77{k}", "12.00")))
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="{_W}"><w:body><w:tbl>{rows}</w:tbl></w:body></w:document>')
+    return bytearray(out.getvalue())
+
+
+@query("select '/f' || c_custkey || '.docx' as path, 0 as table_id, unnest([0, 0, 1, 1]) as row, unnest([0, 1, 0, 1]) as col, unnest(['Account', 'Value', '77' || c_custkey, '12.00']) as text from customer")
+def s3_document_tables(spark, sf_dir):
+    build = F.udf(_docx_table, T.BinaryType())
+    return files.docx_tables(table(spark, sf_dir, "customer").select(F.concat(F.lit("/f"), F.col("c_custkey").cast("string"), F.lit(".docx")).alias("path"), build("c_custkey").alias("content")))
+
+
 _SHEET = {"parties": [{"role": "petitioner", "names": ["Jane Roe {k}"], "phones": ["801-555-0100", " "], "accounts": [{"number": "77{k}", "institution": "Bank"}]}, {"role": "child", "names": ["Bo Roe"], "emails": None}]}
 
 

@@ -216,6 +216,20 @@ def j21_child_roster(spark, sf_dir):
     return people.children_below_cues(table(spark, sf_dir, "customer").select(k.alias("doc_id"), F.posexplode(text).alias("line_no", "text")))
 
 
+@query(f"""
+with c as (select distinct cast(c_custkey as varchar) as set_id, {_LAST}[c_custkey % {len(_LAST)} + 1] as l from customer)
+select set_id, 'person' as category, 'Daniel R. ' || l as name, 'Dan ' || l || '|Daniel R. ' || l || '|' || l || ', Daniel' as forms from c
+union all select set_id, 'person', 'Daniel ' || l || ' Reed', 'Daniel ' || l || ' Reed' from c union all select set_id, 'minor', 'Daniel ' || l, 'Daniel ' || l from c union all select set_id, 'person', 'Daniel Rowan ' || l, 'Daniel Rowan ' || l from c
+""")
+def a2_person_registry(spark, sf_dir):
+    """A father's forms join; a son who is listed apart, a child of another category and another last name don't."""
+    l = _names()[2]  # noqa: E741
+    made = [("person", "Daniel R. {l}", False), ("person", "Dan {l}", False), ("person", "{l}, Daniel", False), ("person", "Daniel {l} Reed", False), ("minor", "Daniel {l}", False), ("person", "Daniel Rowan {l}", True)]
+    rows = F.array(*[F.struct(F.lit(c).alias("category"), F.replace(F.lit(n), F.lit("{l}"), l).alias("name"), F.lit(a).alias("apart")) for c, n, a in made])
+    names_ = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("set_id"), F.explode(rows).alias("m")).select("set_id", "m.*")
+    return people.person_registry(names_).withColumn("forms", F.array_join("forms", "|"))
+
+
 # -- invented names, keys ---------------------------------------------------------------------
 _SHAPES = {"whole": ("{f} {l}", "Mabel Corwin"), "upper": ("{F} {L}", "MABEL CORWIN"), "turned": ("{l}, {f}", "Corwin, Mabel"), "initial": ("{i}. {l}", "M. Corwin"), "plural": ("the {l}s", "the Corwins"), "titled": ("Ms. {l}", "Ms. Corwin"), "first": ("{f}", "Mabel")}
 

@@ -165,3 +165,9 @@ def test_span_guards_equal_loops(spark):
         for s in inner:
             best[s[:2]] = max(best.get(s[:2], 0), s[2])
         assert [tuple(s) for s in r.k] == sorted((*k, v) for k, v in best.items())
+
+
+def test_those_that_stand_apart_keep_their_own(spark):
+    rows = [(1, "person", "Daniel R Holm", False), (1, "person", "Daniel Holm", True), (1, "person", "Daniel Holm", False), (1, "person", "Dan Holm", False), (2, "person", "Daniel Holm", None), (2, "person", None, False)]
+    got = {(r.set_id, r.name): r.forms for r in people.person_registry(spark.createDataFrame(rows, "set_id long, category string, name string, apart boolean")).collect()}
+    assert got == {("1", "Daniel R Holm"): ["Dan Holm", "Daniel R Holm"], ("1", "Daniel Holm"): ["Daniel Holm"], ("2", "Daniel Holm"): ["Daniel Holm"]}
