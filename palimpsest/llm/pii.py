@@ -352,11 +352,12 @@ def redact(text: str | None, hint: bool = True) -> str | None:
     return "".join([*out, text[last:]]) if out else text
 
 
-RESULT = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_disguised long"
+RESULT = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_disguised long, n_spans long"
 
 
 def find_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Counts of plain spans by kind, their digest, and all spans as text, for every row.
+    """Counts of plain spans by kind, their digest, all spans as text, and counts of disguised and of all
+    spans, for every row.
 
     Offsets are code points, ends exclusive. Null and empty texts hold none; repeated rows each
     get theirs; other columns are dropped.
@@ -368,7 +369,7 @@ def find_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str =
             for doc, text, hint in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), hinted(batch.column("text")), strict=True):
                 base, more = find(text or "", hint)
                 both = {k: base[k] + more[k] for k in KINDS}
-                rows.append((doc, *(len(base[k]) for k in KINDS), hashlib.sha256(joined(base).encode()).hexdigest(), joined(both), sum(map(len, more.values()))))
+                rows.append((doc, *(len(base[k]) for k in KINDS), hashlib.sha256(joined(base).encode()).hexdigest(), joined(both), sum(map(len, more.values())), sum(map(len, both.values()))))
             names = [c.split()[0] for c in RESULT.split(", ")]
             kinds = [pa.string() if c.endswith("string") else pa.int64() for c in RESULT.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)

@@ -51,6 +51,9 @@ def test_clean_texts_have_none():
 
 def test_pii_on_odd_rows(spark, odd):
     assert pii.find_documents(odd).count() == odd.count()
+    one = spark.createDataFrame([(1, "a@example.com, 10.0.0.1 and john at example dot org")], "doc_id long, text string")
+    r = pii.find_documents(one).first()
+    assert (r.n_email, r.n_ip, r.n_disguised, r.n_spans) == (1, 1, 1, 3) == (1, 1, 1, len(r.spans.split(",")))
     out = pii.redact_documents(odd.where("doc_id is null or doc_id <> 4"))
     assert out.columns == odd.columns and out.where("text is null").count() == 1
     assert pii.find_documents(odd.where("false")).count() == 0
