@@ -111,7 +111,7 @@ def worth_proposing(value: str, category: str = "person") -> bool:
 def screen(says_name: bool | None, parsed: str | None) -> str:
     """What two readers make of a proposal: "other" only if both say that it is no person; a reader that does
     not answer says nothing against it."""
-    return "other" if says_name is False and parsed not in ("person", None) else "person"
+    return "other" if says_name is False and parsed not in ("person", None, "") else "person"
 
 
 def keeps(text: str, category: str, label: str | None) -> bool | None:
@@ -127,7 +127,9 @@ def keeps(text: str, category: str, label: str | None) -> bool | None:
     return len(w) == 2 and acceptable_person(text)
 
 
-def _told(f: Callable[..., object], kind: T.DataType):
+def as_column(f: Callable[..., object], kind: T.DataType) -> Callable[..., Column]:
+    """A function of values as one of columns, whole Arrow batches at a time; a null comes as an empty text."""
+
     @F.pandas_udf(kind)
     def apply(*cols: pd.Series) -> pd.Series:
         return pd.Series([f(*(x if x is not None else "" for x in row)) for row in zip(*cols, strict=True)], dtype=object)
@@ -136,18 +138,18 @@ def _told(f: Callable[..., object], kind: T.DataType):
 
 
 #: The gates on columns; null counts as empty.
-is_address_col = _told(is_address, T.BooleanType())
-is_business_col = _told(is_business, T.BooleanType())
-without_tail_col = _told(without_tail, T.StringType())
-acceptable_person_col = _told(acceptable_person, T.BooleanType())
-worth_proposing_col = _told(worth_proposing, T.BooleanType())
-ordinary_col = _told(ordinary, T.BooleanType())
+is_address_col = as_column(is_address, T.BooleanType())
+is_business_col = as_column(is_business, T.BooleanType())
+without_tail_col = as_column(without_tail, T.StringType())
+acceptable_person_col = as_column(acceptable_person, T.BooleanType())
+worth_proposing_col = as_column(worth_proposing, T.BooleanType())
+ordinary_col = as_column(ordinary, T.BooleanType())
 
 
 def likely_name_col(text: Column, category: Column, known: Collection[str] = (), places: Collection[str] = (), given: Collection[str] = ()) -> Column:
     """``likely_name`` on columns, with word lists of a case, some tens of words each."""
-    return _told(lambda t, c: likely_name(t, c, known, places, given), T.BooleanType())(text, category)
+    return as_column(lambda t, c: likely_name(t, c, known, places, given), T.BooleanType())(text, category)
 
 
 def holds_name_col(value: Column, parts: Collection[str]) -> Column:
-    return _told(lambda v: holds_name(v, parts), T.BooleanType())(value)
+    return as_column(lambda v: holds_name(v, parts), T.BooleanType())(value)

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from ..functions import addresses, forms, names
 from ..functions import text as X
+from ..functions.gates import as_column
 from ..operators import metrics, people, scan, spans, units
 from ..sources import files
 from . import lines
@@ -44,7 +45,7 @@ def s13_caption_regions(spark, sf_dir):
 
 @query("select '/f' || c_custkey || '.docx' as path, 'Name: Jane ' || c_custkey || ', paid' as text from customer")
 def s2_document_texts(spark, sf_dir):
-    build = F.udf(lambda k: bytearray(small_docx("Name: ", f"Jane {k}", ", paid")), T.BinaryType())
+    build = as_column(lambda k: bytearray(small_docx("Name: ", f"Jane {k}", ", paid")), T.BinaryType())
     rows = table(spark, sf_dir, "customer").select(F.concat(F.lit("/f"), F.col("c_custkey").cast("string"), F.lit(".docx")).alias("path"), build("c_custkey").alias("content"), F.lit(True).alias("supported"))
     return files.texts(rows)
 
@@ -66,7 +67,7 @@ def _docx_table(k: int) -> bytearray:
 
 @query("select '/f' || c_custkey || '.docx' as path, 0 as table_id, unnest([0, 0, 1, 1]) as row, unnest([0, 1, 0, 1]) as col, unnest(['Account', 'Value', '77' || c_custkey, '12.00']) as text from customer")
 def s3_document_tables(spark, sf_dir):
-    build = F.udf(_docx_table, T.BinaryType())
+    build = as_column(_docx_table, T.BinaryType())
     return files.docx_tables(table(spark, sf_dir, "customer").select(F.concat(F.lit("/f"), F.col("c_custkey").cast("string"), F.lit(".docx")).alias("path"), build("c_custkey").alias("content")))
 
 
@@ -156,14 +157,14 @@ _GIVEN = {"equal": ("Robert", "robert", True), "short": ("Bob", "Robert", True),
 
 @query(" union all ".join(f"select c_custkey as id, '{n}' as \"case\", {str(w).lower()} as same from customer" for n, (_, _, w) in _GIVEN.items()))
 def f10_given_names(spark, sf_dir):
-    same = F.udf(names.same_given, T.BooleanType())
+    same = as_column(names.same_given, T.BooleanType())
     made = F.array(*[F.struct(F.lit(n).alias("case"), F.lit(a).alias("a"), F.lit(b).alias("b")) for n, (a, b, _) in _GIVEN.items()])
     return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.explode(made).alias("m")).select("id", "m.case", same("m.a", "m.b").alias("same"))
 
 
 @query("select c_custkey as id, 'Jane Eve Roe' || repeat('x', c_custkey % 5) as richest from customer")
 def f12_richest_names(spark, sf_dir):
-    rich = F.udf(lambda n: [float(x) for x in names.richness(names.parse(n))], T.ArrayType(T.DoubleType()))
+    rich = as_column(lambda n: [float(x) for x in names.richness(names.parse(n))], T.ArrayType(T.DoubleType()))
     last = F.concat(F.lit("Roe"), F.repeat(F.lit("x"), (F.col("c_custkey") % 5).cast("int")))
     made = F.array(F.concat(F.lit("Jane "), last), F.concat(F.lit("Jane Eve "), last), F.concat(F.lit("J. Eve "), last))
     rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.explode(made).alias("n"))

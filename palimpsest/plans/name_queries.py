@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import gates, render
+from ..functions.gates import as_column
 from ..functions.names import parse
 from ..operators import harvest, metrics, parties, people, registry, spans
 from . import lines
@@ -65,7 +66,7 @@ _SCREEN = {"no_no": (False, "business", "other"), "no_yes": (False, "person", "p
 
 @query(_case_sql({n: w for n, (_, _, w) in _SCREEN.items()}, "label"))
 def e3_name_screen(spark, sf_dir):
-    label = F.udf(gates.screen, T.StringType())
+    label = as_column(gates.screen, T.StringType())
     made = F.array(*[F.struct(F.lit(n).alias("case"), F.lit(a).cast("boolean").alias("says"), F.lit(b).cast("string").alias("parsed")) for n, (a, b, _) in _SCREEN.items()])
     rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.explode(made).alias("m"))
     return rows.select("id", "m.case", label("m.says", "m.parsed").alias("label"))
@@ -237,7 +238,7 @@ _SHAPES = {"whole": ("{f} {l}", "Mabel Corwin"), "upper": ("{F} {L}", "MABEL COR
 @query(" union all ".join(f"select c_custkey as id, '{n}' as shape, '{w}' as made from customer" for n, (_, w) in _SHAPES.items()))
 def f3_rendered_forms(spark, sf_dir):
     f, _, l = _names()  # noqa: E741
-    put = F.udf(lambda like, first, last: render.render(parse("Mabel Corwin"), like, parse(f"{first} {last}")), T.StringType())
+    put = as_column(lambda like, first, last: render.render(parse("Mabel Corwin"), like, parse(f"{first} {last}")), T.StringType())
     parts = {"{f}": f, "{l}": l, "{F}": F.upper(f), "{L}": F.upper(l), "{i}": F.substring(f, 1, 1)}
 
     def form(pattern):
@@ -257,7 +258,7 @@ _PARTIAL = {"glued": ("{f}{l}", "MabelCorwin"), "partial": ("{f}", "Mabel"), "ot
 @query(" union all ".join(f"select c_custkey as id, '{n}' as shape, {'null' if w is None else repr(w)} as made from customer" for n, (_, w) in _PARTIAL.items()))
 def f27_partial_names(spark, sf_dir):
     f, _, l = _names()  # noqa: E741
-    put = F.udf(lambda like, real: render.shaped(like, real, "Mabel Corwin"), T.StringType())
+    put = as_column(lambda like, real: render.shaped(like, real, "Mabel Corwin"), T.StringType())
     real = F.concat_ws(" ", f, l)
     made = F.array(*[F.struct(F.lit(n).alias("shape"), F.replace(F.replace(F.lit(p), F.lit("{f}"), f), F.lit("{l}"), l).alias("like")) for n, (p, _) in _PARTIAL.items()])
     rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), real.alias("real"), F.explode(made).alias("m"))
@@ -266,7 +267,7 @@ def f27_partial_names(spark, sf_dir):
 
 @query("select c_custkey as id, 'Corwin''s Food & Corwins ' || (c_custkey % 9) || ' LLC, ' || upper('Corwin') as made from customer")
 def f28_swapped_surnames(spark, sf_dir):
-    put = F.udf(lambda text, last: render.surname_swapped(text, last, "Corwin"), T.StringType())
+    put = as_column(lambda text, last: render.surname_swapped(text, last, "Corwin"), T.StringType())
     _, _, l = _names()  # noqa: E741
     text = F.concat(l, F.lit("'s Food & "), l, F.lit("s "), (F.col("c_custkey") % 9).cast("string"), F.lit(" LLC, "), F.upper(l))
     return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), put(text, l).alias("made"))
@@ -278,7 +279,7 @@ _COMPANY = {"as": ("Best {w} Co., Inc.", True), "upper": ("BEST {W} CO", True),
 @query(" union all ".join(f"select c_custkey as id, '{n}' as form, {str(w).lower()} as found from customer" for n, (_, w) in _COMPANY.items()))
 def f22_company_forms(spark, sf_dir):
     w = F.initcap("c_mktsegment")
-    pattern = F.udf(render.company_pattern, T.StringType())
+    pattern = as_column(render.company_pattern, T.StringType())
     made = F.array(*[F.struct(F.lit(n).alias("form"), F.replace(F.replace(F.replace(F.lit(t), F.lit("{w}"), w), F.lit("{W}"), F.upper(w)), F.lit("{x}"), F.lower(w)).alias("text")) for n, (t, _) in _COMPANY.items()])
     rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), pattern(F.concat(F.lit("Best "), w, F.lit(" Co., Inc."))).alias("p"), F.explode(made).alias("m"))
     return rows.select("id", "m.form", F.regexp_like("m.text", F.col("p")).alias("found"))

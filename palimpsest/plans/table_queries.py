@@ -8,6 +8,7 @@ import zipfile
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.gates import as_column
 from ..operators import tables
 from ..sources import delivery, files, pages
 from .catalog import query, table
@@ -93,7 +94,7 @@ def small_docx(*runs: str) -> bytes:
 @query("select '/case' || c_custkey || '/a.docx' as path, cast(2 as bigint) as replaced, 'by [NAME-1] and [ACCOUNT-' || c_custkey || '].' as text from customer")
 def k2_rewritten_documents(spark, sf_dir):
     """A name that two runs cut, and a number that differs from case to case."""
-    build = F.udf(lambda k: bytearray(small_docx("by Jane ", "Roebuck and ", f"8812{k:06d}", ".")), T.BinaryType())
+    build = as_column(lambda k: bytearray(small_docx("by Jane ", "Roebuck and ", f"8812{k:06d}", ".")), T.BinaryType())
     k = F.col("c_custkey")
     rows = table(spark, sf_dir, "customer").select(k.alias("set_id"), F.concat(F.lit("/case"), k.cast("string"), F.lit("/a.docx")).alias("path"), build("c_custkey").alias("content"))
     pairs = F.array(F.struct(F.lit("Jane Roebuck").alias("canonical"), F.lit("[NAME-1]").alias("replacement")), F.struct(F.concat(F.lit("8812"), F.lpad(k.cast("string"), 6, "0")).alias("canonical"), F.concat(F.lit("[ACCOUNT-"), k.cast("string"), F.lit("]")).alias("replacement")))
