@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.gates import acceptable_person_col
+from ..storage import partitions_for
 
 #: Cells from which a row without digits is a heading, and rows that make a table.
 HEADING_CELLS, LEAST_ROWS = 3, 2
@@ -22,18 +23,20 @@ def tables(cells: DataFrame) -> DataFrame:
     A table is a run of neighbouring rows with two cells or more; a row of one lone figure may stand among
     them; a heading (three cells or more, no digits) begins a new table. Cells are doc_id, page, row, cell,
     x0, x1 and text, as ``units.row_cells`` makes them."""
-    per_row = cells.groupBy("doc_id", "page", "row").agg(F.count(F.lit(1)).alias("__n"), F.bool_and(F.col("text").rlike(_FIGURE)).alias("__figure"), F.bool_or(F.col("text").rlike("[0-9]")).alias("__digit"))
+    # All steps are grouped within a page, so its cells are dealt once and met again by no join.
+    held = cells.where("doc_id is not null and page is not null and row is not null").repartition(partitions_for(cells), "doc_id", "page")
+    cell = F.struct("cell", "x0", "x1", "text")
+    per_row = held.groupBy("doc_id", "page", "row").agg(F.collect_list(cell).alias("__cells"), F.count(F.lit(1)).alias("__n"), F.bool_and(F.col("text").rlike(_FIGURE)).alias("__figure"), F.bool_or(F.col("text").rlike("[0-9]")).alias("__digit"))
     page = Window.partitionBy("doc_id", "page").orderBy("row")
     inside = (F.col("__n") >= 2) | F.col("__figure")
     heading = (F.col("__n") >= HEADING_CELLS) & ~F.col("__digit")
     rows = per_row.withColumn("__in", inside).withColumn("__start", (F.col("__in") & (~F.coalesce(F.lag("__in").over(page), F.lit(False)) | heading)).cast("int"))
-    rows = rows.withColumn("__run", F.sum("__start").over(page.rowsBetween(Window.unboundedPreceding, 0))).where("__in")
-    sizes = rows.groupBy("doc_id", "page", "__run").agg(F.count_if(F.col("__n") >= 2).alias("__k")).where(F.col("__k") >= LEAST_ROWS)
-    sizes = sizes.withColumn("table_id", F.row_number().over(Window.partitionBy("doc_id", "page").orderBy("__run")) - 1)
-    rows = rows.join(sizes, ["doc_id", "page", "__run"])
-    rows = rows.withColumn("__row", F.row_number().over(Window.partitionBy("doc_id", "page", "table_id").orderBy("row")) - 1)
-    out = cells.join(rows.select("doc_id", "page", "row", "table_id", "__row"), ["doc_id", "page", "row"])
-    return out.select("doc_id", "page", "table_id", F.col("__row").alias("row"), "cell", "x0", "x1", "text")
+    rows = rows.withColumn("__run", F.sum("__start").over(page)).where("__in")
+    run = Window.partitionBy("doc_id", "page", "__run")
+    rows = rows.withColumn("__k", F.count_if(F.col("__n") >= 2).over(run)).where(F.col("__k") >= LEAST_ROWS)
+    rows = rows.withColumn("table_id", F.dense_rank().over(Window.partitionBy("doc_id", "page").orderBy("__run")) - 1)
+    rows = rows.withColumn("__row", F.row_number().over(run.orderBy("row")) - 1)
+    return rows.select("doc_id", "page", "table_id", F.col("__row").alias("row"), F.explode("__cells").alias("c")).select("doc_id", "page", "table_id", "row", "c.*")
 
 
 def aligned(cells: DataFrame) -> DataFrame:
