@@ -44,15 +44,15 @@ def aligned(cells: DataFrame) -> DataFrame:
     several); each cell goes to the column that it overlaps most, or else to the one whose middle is nearest.
     Cells of a row in one column are joined by a space."""
     table = ["doc_id", "page", "table_id"]
-    widest = cells.groupBy(*table, "row").agg(F.count(F.lit(1)).alias("__n")).groupBy(*table).agg(F.max_by("row", F.struct("__n", -F.col("row"))).alias("__widest"))
-    head = cells.join(widest, table).where("row = __widest")
-    number = F.row_number().over(Window.partitionBy(*table).orderBy("x0", "cell")) - 1
-    columns = head.select(*table, number.alias("col"), F.col("x0").alias("c0"), F.col("x1").alias("c1"))
-    # a table's cells meet its own columns only, some tens at most
-    both = cells.join(columns, table)
-    overlap = F.greatest(F.least("x1", "c1") - F.greatest("x0", "c0"), F.lit(0.0))
-    away = F.abs((F.col("x0") + F.col("x1") - F.col("c0") - F.col("c1")) / 2)
-    at = both.groupBy(*table, "row", "cell", "x0", "text").agg(F.max_by("col", F.struct(overlap, -away, -F.col("col"))).alias("col"))
+    whole = Window.partitionBy(*table)
+    n = F.count(F.lit(1)).over(Window.partitionBy(*table, "row"))
+    rows = cells.withColumn("__n", n).withColumn("__widest", F.max(F.struct("__n", (-F.col("row")).alias("r"))).over(whole))
+    # a table's columns, some tens at most, stand beside each of its cells
+    head = F.collect_list(F.when(F.col("row") == -F.col("__widest.r"), F.struct("x0", "cell", "x1"))).over(whole)
+    away = lambda c: F.abs((F.col("x0") + F.col("x1") - c["x0"] - c["x1"]) / 2)
+    overlap = lambda c: F.greatest(F.least("x1", c["x1"]) - F.greatest("x0", c["x0"]), F.lit(0.0))
+    best = F.array_max(F.transform(F.array_sort(head), lambda c, i: F.struct(overlap(c).alias("o"), (-away(c)).alias("a"), (-i).alias("i"))))
+    at = rows.withColumn("__at", best).groupBy(*table, "row", "cell", "x0", "text").agg((-F.max("__at")["i"]).alias("col"))
     parts = F.array_sort(F.collect_list(F.struct("x0", "cell", "text")))
     return at.groupBy(*table, "row", "col").agg(F.array_join(F.transform(parts, lambda p: p["text"]), " ").alias("text"))
 
