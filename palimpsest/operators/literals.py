@@ -15,8 +15,8 @@ from ..functions.validators import digits
 
 #: Shortest value that is searched for, and the most values that are sent to every task (some 100 bytes each).
 LEAST, BROADCAST_VALUES = 4, 50_000
-#: Digits enough to be told whatever stands between them, and how many of them a value is joined by.
-_NUMBER, LEAD_DIGITS = re.compile(r"[0-9]{7,}"), 4
+#: Digits enough to be told whatever stands between them, and digits with single signs between them in a text.
+_NUMBER, _RUN = re.compile(r"[0-9]{7,}"), re.compile(r"[0-9](?:[ -]?[0-9]){6,}")
 #: Letters that a pattern takes for i, s and k when it ignores case.
 _FOLD = {0x130: "i", 0x131: "i", 0x17F: "s", 0x212A: "k"}
 
@@ -76,22 +76,25 @@ def _schema(rows: DataFrame, keys: tuple[str, ...], more: str) -> str:
 
 
 def _find_listed(units: DataFrame, listed: list[str], keys: tuple[str, ...], text_col: str) -> DataFrame:
-    first = {_folded(v).split()[0] for v in listed if not is_number(v)}
-    digits_at = [v[:LEAD_DIGITS] for v in listed if is_number(v)]
+    words = [((v if v.isascii() else v.translate(_FOLD)).lower().split()[0], v) for v in listed if not is_number(v)]
+    numbers = frozenset(v for v in listed if is_number(v))
+    lengths = sorted({len(v) for v in numbers})
+
+    def there(text: str) -> list[str]:
+        """The values that may stand in a text: names by their first word, numbers by the digits in a row."""
+        low = (text if text.isascii() else text.translate(_FOLD)).lower()
+        runs = [re.sub(r"[ -]", "", r) for r in _RUN.findall(text)] if numbers else ()
+        return [v for f, v in words if f in low] + list({x for r in runs for n in lengths for i in range(len(r) - n + 1) if (x := r[i : i + n]) in numbers})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        find = _finder(listed)
         for pdf in batches:
             out = []
             for row in pdf.itertuples(index=False):
                 text = getattr(row, text_col)
                 if not text:
                     continue
-                low = (text if text.isascii() else text.translate(_FOLD)).lower()
-                bare = re.sub(r"[ -]", "", low) if digits_at else ""
-                if not any(f in low for f in first) and not any(d in bare for d in digits_at):
-                    continue
-                out += [(*(getattr(row, k) for k in keys), *m) for m in find(text)]
+                if some := there(text):
+                    out += [(*(getattr(row, k) for k in keys), *m) for m in _finder(some)(text)]
             yield pd.DataFrame(out, columns=[*keys, "value", "begin", "end"])
 
     return units.select(*keys, text_col).mapInPandas(run, _schema(units, keys, "value string, begin int, end int"))
@@ -101,17 +104,20 @@ def _find_joined(units: DataFrame, known: DataFrame, keys: tuple[str, ...], text
     word, texts = r"[\p{L}\p{N}]+", units.select(*keys, text_col)
     fold = lambda c: F.lower(F.translate(c, "".join(map(chr, _FOLD)), "".join(_FOLD.values())))
     number = F.col("value").rlike("^[0-9]{7,}$")
-    table = known.withColumn("lead", F.when(number, F.concat(F.lit("#"), F.substring("value", 1, LEAD_DIGITS))).otherwise(fold(F.regexp_extract("value", word, 0))))
-    leads = F.regexp_extract_all(fold(F.col(text_col)), F.lit(word), F.lit(0))
-    # of digits with single signs between them every few in a row, as a value may begin at any
-    runs = F.transform(F.regexp_extract_all(F.col(text_col), F.lit("[0-9](?:[ -]?[0-9]){6,}"), F.lit(0)), lambda r: F.regexp_replace(r, "[ -]", ""))
-    pieces = F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - LEAD_DIGITS + 1), lambda i: F.concat(F.lit("#"), F.substr(r, i, F.lit(LEAD_DIGITS))))))
-    leads = F.concat(leads, pieces)
+    table = known.where(~number).withColumn("lead", fold(F.regexp_extract("value", word, 0)))
     # A value without a word has an empty lead, which every text holds.
-    words = units.select(*keys, F.explode(F.array_distinct(F.concat(leads, F.array(F.lit(""))))).alias("lead"))
-    pairs = words.join(table, "lead").select(*keys, "value").distinct()
-    there = _standing(_with_texts(pairs, texts, keys), keys, text_col).distinct()
-    listed = there.groupBy(*keys).agg(F.collect_list("value").alias("value"))
+    leads = F.concat(F.regexp_extract_all(fold(F.col(text_col)), F.lit(word), F.lit(0)), F.array(F.lit("")))
+    pairs = units.select(*keys, F.explode(F.array_distinct(leads)).alias("lead")).join(table, "lead").select(*keys, "value").distinct()
+    there = _standing(_with_texts(pairs, texts, keys), keys, text_col)
+    # A number is joined whole with what is as long in the digits of a text, which may be parted by single signs;
+    # the numbers of digits that values have are a short list.
+    numbers = known.where(number)
+    lengths = F.array(*[F.lit(r[0]) for r in sorted(numbers.select(F.length("value")).distinct().collect())]).cast("array<int>")
+    runs = F.transform(F.regexp_extract_all(F.col(text_col), F.lit(_RUN.pattern), F.lit(0)), lambda r: F.regexp_replace(r, "[ -]", ""))
+    cut = lambda r, n: F.transform(F.sequence(F.lit(1), F.length(r) - n + 1), lambda i: F.substr(r, i, n))
+    pieces = F.flatten(F.transform(runs, lambda r: F.flatten(F.transform(F.filter(lengths, lambda n: n <= F.length(r)), lambda n: cut(r, n)))))
+    whole = units.select(*keys, F.explode(F.array_distinct(pieces)).alias("value")).join(numbers, "value").select(*keys, "value")
+    listed = there.unionByName(whole).distinct().groupBy(*keys).agg(F.collect_list("value").alias("value"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
