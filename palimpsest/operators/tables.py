@@ -59,8 +59,8 @@ def aligned(cells: DataFrame) -> DataFrame:
 
 def _headed(cells: DataFrame, heads: tuple[str, ...]) -> DataFrame:
     """The cells below a head of these names, with the document."""
-    head = cells.where("row = 0").where(F.lower(F.trim("text")).isin(*heads)).select("doc_id", "page", "table_id", "col")
-    return cells.where("row > 0").join(head, ["doc_id", "page", "table_id", "col"], "left_semi")
+    named = F.max((F.col("row") == 0) & F.lower(F.trim("text")).isin(*heads)).over(Window.partitionBy("doc_id", "page", "table_id", "col"))
+    return cells.withColumn("__named", named).where("__named and row > 0").drop("__named")
 
 
 def column_parties(cells: DataFrame) -> DataFrame:
