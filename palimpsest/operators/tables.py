@@ -80,10 +80,10 @@ def column_employers(cells: DataFrame) -> DataFrame:
 def child_rows(cells: DataFrame) -> DataFrame:
     """doc_id, name and born of the rows of child rosters: tables with a column of names and one of births."""
     lower = F.lower(F.trim("text"))
-    heads = cells.where("row = 0")
-    names = heads.where(lower.rlike(r"^(?:child(?:ren)?(?:'s)?|name|initials|child's (?:name|initials)|name of (?:minor )?child)$")).groupBy("doc_id", "page", "table_id").agg(F.min("col").alias("__name"))
-    births = heads.where(lower.rlike(r"birth|\bborn\b|\bdob\b")).groupBy("doc_id", "page", "table_id").agg(F.min("col").alias("__born"))
-    rows = cells.where("row > 0").join(names, ["doc_id", "page", "table_id"]).join(births, ["doc_id", "page", "table_id"])
+    whole = Window.partitionBy("doc_id", "page", "table_id")
+    first = lambda pattern: F.min(F.when((F.col("row") == 0) & lower.rlike(pattern), F.col("col"))).over(whole)
+    name = first(r"^(?:child(?:ren)?(?:'s)?|name|initials|child's (?:name|initials)|name of (?:minor )?child)$")
+    rows = cells.withColumns({"__name": name, "__born": first(r"birth|\bborn\b|\bdob\b")}).where("row > 0 and __name is not null and __born is not null")
     pick = lambda c: F.max(F.when(F.col("col") == F.col(c), F.trim("text")))
     out = rows.groupBy("doc_id", "page", "table_id", "row").agg(pick("__name").alias("name"), pick("__born").alias("born"))
     return out.where("name <> '' and born <> ''").select("doc_id", "name", "born")
