@@ -100,8 +100,7 @@ def k2_rewritten_documents(spark, sf_dir):
     pairs = F.array(F.struct(F.lit("Jane Roebuck").alias("canonical"), F.lit("[NAME-1]").alias("replacement")), F.struct(F.concat(F.lit("8812"), F.lpad(k.cast("string"), 6, "0")).alias("canonical"), F.concat(F.lit("[ACCOUNT-"), k.cast("string"), F.lit("]")).alias("replacement")))
     mapping = table(spark, sf_dir, "customer").select(k.alias("set_id"), F.explode(pairs).alias("p")).select("set_id", "p.*")
     out = delivery.rewrite_files(rows, mapping)
-    read = files.texts(out.select("path", "content", F.lit(True).alias("supported")))
-    return out.select("path", "replaced").join(read, "path")
+    return files.texts(out.withColumn("supported", F.lit(True)), ("replaced",)).select("path", "replaced", "text")
 
 
 @query("""

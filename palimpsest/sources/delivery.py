@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators.literals import bounded
+from ..storage import partitions_for
 
 _W = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
 _T, _P, _DELETED = f"{{{_W}}}t", f"{{{_W}}}p", f"{{{_W}}}delText"
@@ -55,9 +56,10 @@ def rewrite_docx(data: bytes, replacements: dict[str, str]) -> tuple[bytes, int]
         for item in old.infolist():
             raw = old.read(item.filename)
             if _TEXT_PARTS.fullmatch(item.filename):
-                for prefix, (uri, *_rest) in ((p, (u,)) for _, (p, u) in ElementTree.iterparse(io.BytesIO(raw), events=["start-ns"])):
+                read = ElementTree.iterparse(io.BytesIO(raw), events=["start-ns"])
+                for _, (prefix, uri) in read:
                     ElementTree.register_namespace(prefix, uri) if not re.fullmatch(r"ns\d+", prefix) else None
-                root = ElementTree.fromstring(raw)
+                root = read.root
                 n += sum(_rewrite_paragraph(p, pattern, made) for p in root.iter(_P))
                 for x in root.iter():
                     for a in _AUTHOR:
@@ -90,6 +92,7 @@ def rewrite_files(files: DataFrame, mapping: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["path", "content", "replaced"])
 
     rows = files.join(per_set, "set_id", "left").select("path", "content", "made")
+    rows = rows.repartition(partitions_for(rows), "path")  # small in bytes, long in work
     return rows.mapInPandas(run, "path string, content binary, replaced long")
 
 
