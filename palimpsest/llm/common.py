@@ -7,6 +7,7 @@ import ctypes
 import gc
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..storage import save_shared, shared_dir  # noqa: F401  used by the other modules
+from ..storage import drop_shared, save_shared, shared_dir  # noqa: F401  used by the other modules
 
 #: Characters of a text that a model is fitted on, at most; scoring reads whole texts.
 FIT_CHARS = 20_000
@@ -82,6 +83,35 @@ def fit_text(col: str) -> Column:
     return F.substr(F.col(col), (F.pmod(F.xxhash64(col), spare + 1) + 1).cast("int"), F.lit(FIT_CHARS))
 
 
+#: Numbers are added up as whole multiples of 1 / UNIT, so that the order in which they come changes no sum.
+UNIT = 1 << 24
+#: Pieces that a vector is added up in, each by a task of its own.
+SLOTS = 32
+PARTS = "slot int, part binary"
+
+
+def in_parts(vector: np.ndarray) -> pa.RecordBatch:
+    """Whole numbers as rows of PARTS."""
+    pieces = np.array_split(vector.astype("<i8"), SLOTS)
+    return pa.RecordBatch.from_arrays([pa.array(range(SLOTS), pa.int32()), pa.array([x.tobytes() for x in pieces], pa.binary())], ["slot", "part"])
+
+
+def added_up(parts: DataFrame) -> np.ndarray:
+    """The sum of the vectors that rows of PARTS hold; empty if there is none. Vectors are added where they
+    are, the driver reads one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for slot, part in zip(batch.column("slot").to_pylist(), batch.column("part"), strict=True):
+                x = np.frombuffer(part.as_buffer(), "<i8")
+                sums[slot] = sums[slot] + x if slot in sums else x.copy()
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["slot", "part"])
+
+    rows = parts.select("slot", "part").repartition(SLOTS, "slot").mapInArrow(run, PARTS).collect()
+    return np.concatenate([np.frombuffer(r.part, "<i8") for r in sorted(rows, key=lambda r: r.slot)]) if rows else np.empty(0, np.int64)
+
+
 def content_key(df: DataFrame) -> tuple[Column, Column]:
     """Two 64-bit hashes of a row's whole content, nulls included. A row has the same key in every
     scan, however the input is split; a number given in one scan need not be a row's in the next."""

@@ -6,32 +6,42 @@ maxima. All of it is learned from random beginnings by gradients that flow throu
 gave the maxima. Scores are calibrated by language on labelled rows outside the training set: the
 language is told from the words themselves, the logit's scale is fitted by logistic regression, and
 the threshold with the least weight of errors becomes one half.
+
+Every labelled document that may be learned from takes part, whole. A sample gives the network that all begin
+from; then each cell of documents learns on from it in a task of its own, the cells' networks are averaged, and
+words are counted by language. Scales and thresholds come from all labelled documents that are set apart.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from copy import deepcopy
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import FIT_CHARS, fit_text, fresh, giving_back, release_memory, text_slices
+from .common import PARTS, UNIT, added_up, drop_shared, fit_text, fresh, giving_back, in_parts, release_memory, save_shared, text_slices
 from .words import Words, split
 
-#: Labelled documents of each class that the classifier is fitted on, at most, and the share of them that
-#: calibrates.
+#: Labelled documents of each class that the network begins with, at most, and the share of all that calibrates.
 SAMPLE_PER_CLASS, HELD = 2500, 0.2
+#: Bytes of the documents that one cell holds, about.
+CELL_BYTES = 32 << 20
+#: Parts of one that logits are told apart by in calibration.
+FINE = 1024
 BITS, DIM, FILTERS, WIDTHS = 15, 8, 8, (1, 2, 3)
 PREFIXES = (4, 5)
 EPOCHS, BATCH, RATE, SPREAD = 8, 64, 0.05, 0.03
 #: Weight of a toxic document in training where they are rare, at most.
 MOST_WEIGHT = 10.0
-#: Held-out rows of each class from which a language has a scale and place of its own.
-OWN = 20
+#: Held-out rows of each class from which a language has a scale and place of its own, if it has one in so many
+#: of all held-out rows.
+OWN, ONE_IN = 20, 100
 #: Word rows that one step of the convolution holds.
 ROWS = 1 << 18
 
@@ -117,34 +127,121 @@ def scores(model: Model, texts: pa.Array) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def _held(col: str = "doc_id") -> Column:
+    """Whether a labelled row calibrates, by a hash of its id."""
+    return F.pmod(F.xxhash64(F.lit("held"), F.col(col).cast("string")), F.lit(round(1 / HELD))) == 0
+
+
 def _sample(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """At most SAMPLE_PER_CLASS labelled documents of each class, the first by a hash of the id; of rows with
-    one id the first by text."""
+    one id the first by text, and of long texts a window. Training begins with them."""
     # two bounded top-n lists, so broadcasting them is safe at any size
-    ids = _labels(labels)
+    ids = _labels(labels).where(~_held())
     some = [ids.where(f"toxic = {c}").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_PER_CLASS) for c in (0, 1)]
     some = some[0].unionByName(some[1]).withColumnsRenamed({"doc_id": "__id"})
-    rows = documents.select("doc_id", fit_text("text").alias("text"), "lang").join(F.broadcast(some), F.col("doc_id") == F.col("__id"))
-    return rows.groupBy("doc_id", "toxic").agg(F.min(F.struct("text", "lang")).alias("t")).select("doc_id", "toxic", "t.text", "t.lang")
+    rows = documents.select("doc_id", fit_text("text").alias("text")).join(F.broadcast(some), F.col("doc_id") == F.col("__id"))
+    return rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+
+
+_LEARNABLE = "doc_id is not null and crc32(encode(cast(doc_id as string), 'UTF-8')) % 5 != 0"
 
 
 def _labels(labels: DataFrame) -> DataFrame:
     """doc_id and toxic (the larger of several) of the rows that may be learned from."""
-    return labels.where("doc_id is not null and toxic is not null and crc32(encode(cast(doc_id as string), 'UTF-8')) % 5 != 0").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    return labels.where(f"toxic is not null and {_LEARNABLE}").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
 
 
 def fit(documents: DataFrame, labels: DataFrame) -> Model:
-    """A model from labelled rows whose crc32(doc_id) mod 5 is not 0; of texts of over FIT_CHARS characters a
-    window of as many is learned from, which a hash of the text places."""
+    """A model from all labelled rows whose crc32(doc_id) mod 5 is not 0, and their whole texts. Repeated rows
+    are learned from once, rows of one id with different texts all."""
     got = _sample(documents, labels).toPandas().sort_values("doc_id", ignore_index=True)
-    every = dict(_labels(labels).groupBy("toxic").count().collect())  # two rows
-    toxic, langs = got["toxic"].to_numpy(int), [x or "" for x in got["lang"]]
-    seen = np.bincount(toxic, minlength=2)
-    model = fit_texts(got.pop("text").tolist(), toxic, langs, [every.get(c, 0) / max(1, seen[c]) for c in (0, 1)])
+    model = begin(np.random.default_rng(7))
+    if not len(got):
+        return model
+    rng = np.random.default_rng(8)
+    square = [np.full_like(p, 1e-3) for p in _params(model)]
+    toxic = got["toxic"].to_numpy(int)
+    w = split(pa.array(got.pop("text").tolist(), pa.large_string()))
+    every = np.arange(len(toxic))
+    train(model, square, w, buckets(w), toxic, every, rare(toxic, every), EPOCHS, rng)
+    del w
+    marked = _labels(labels)
+    count = {(r.toxic, r.held): r["count"] for r in marked.groupBy("toxic", _held().alias("held")).count().collect()}  # four rows
+    docs = documents.where(_LEARNABLE).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit("")).alias("lang"))
+    langs = docs.join(marked.where(_held()), "doc_id").groupBy("lang").agg(F.sum("toxic").alias("n1"), F.count(F.lit(1)).alias("n"))
+    few = max(OWN, sum(n for (_, held), n in count.items() if held) / ONE_IN)
+    own = sorted(r.lang for r in langs.where(f"n >= {few} and n1 >= {OWN} and n - n1 >= {OWN}").collect())  # some ONE_IN rows at most
+    bulk = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    cell = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(bulk // CELL_BYTES + 1)).alias("cell")
+    docs = docs.select(F.col("doc_id").cast("string").alias("id"), "text", "lang", cell)
+    marked = marked.select(F.col("doc_id").cast("string").alias("id"), F.col("toxic").cast("int").alias("toxic"), _held().alias("held"), cell)
+    # at a rare class's weight of the whole table, not of the sample
+    learn = _learner(documents, model, square, own, min(max(1, count.get((0, False), 0)) / max(1, count.get((1, False), 0)), MOST_WEIGHT))
+    parts = save_shared(docs.groupBy("cell").cogroup(marked.groupBy("cell")).applyInArrow(learn, f"{PARTS}, text string, toxic int"), "toxic-cells")
+    _average(model, added_up(parts.where("slot is not null")), len(own))
+    told = _told(parts.where("slot is null"), model).groupBy("k", "bin", "toxic").count().toPandas().sort_values(["k", "bin", "toxic"])
+    place(model, told["k"].to_numpy(int), (told["bin"].to_numpy(float) + 0.5) / FINE, told["toxic"].to_numpy(int), told["count"].to_numpy(int))
+    drop_shared(parts)
     release_memory()
     return model
 
 
+def _learner(documents: DataFrame, model: Model, square: list[np.ndarray], own: list[str], dear: float):
+    """What a cell makes of its documents and labels: its network and its counts as one vector of whole
+    numbers, and the rows that are held out."""
+    shared = documents.sparkSession.sparkContext.broadcast((model, square))
+
+    def learn(docs: pa.Table, labels: pa.Table) -> pa.Table:
+        rows = docs.filter(pc.is_in(docs["id"], value_set=labels["id"].combine_chunks())).select(["id", "text", "lang"]).to_pandas()
+        rows = rows.merge(labels.select(["id", "toxic", "held"]).to_pandas(), on="id").sort_values(["id", "text", "lang"]).drop_duplicates(["id", "text"])
+        held, rows = rows[rows["held"]], rows[~rows["held"]]
+        out = [pa.table({"slot": pa.nulls(len(held), pa.int32()), "part": pa.nulls(len(held), pa.binary()), "text": pa.array(held["text"].tolist(), pa.string()), "toxic": pa.array(held["toxic"].tolist(), pa.int32())})]
+        if n := len(rows):
+            local, state = deepcopy(shared.value)
+            toxic = rows["toxic"].to_numpy(int)
+            w = split(pa.array(rows["text"].tolist(), pa.large_string()))
+            feats = buckets(w)
+            train(local, state, w, feats, toxic, np.arange(n), np.where(toxic == 1, dear, 1.0), 1, np.random.default_rng(n))
+            # a row of the embedding is averaged over the cells that have its words
+            seen = np.zeros(1 << BITS, np.int64)
+            seen[np.unique(feats)] = n
+            column = [own.index(x) if x in own else len(own) for x in rows["lang"]]
+            whole = lambda p: np.rint(p.astype(float) * UNIT).astype(np.int64)
+            numbers = [seen[:, None] * whole(local.embedding), seen, *[n * whole(p) for p in _params(local)[1:]], np.array([n]), count_words(w, feats, np.arange(n), column, len(own) + 1)]
+            part = in_parts(np.concatenate([x.ravel() for x in numbers]))
+            out.append(pa.Table.from_batches([part]).append_column("text", pa.nulls(part.num_rows, pa.string())).append_column("toxic", pa.nulls(part.num_rows, pa.int32())))
+        release_memory()
+        return pa.concat_tables(out)
+
+    return learn
+
+
+def _average(model: Model, numbers: np.ndarray, own: int) -> None:
+    """The mean of the cells' networks, each weighed by its documents, and the words of languages."""
+    if not len(numbers):
+        return
+    sizes = [model.embedding.size, 1 << BITS, *[p.size for p in _params(model)[1:]], 1, (1 << BITS) * (own + 1)]
+    total, seen, *others, n, words = np.split(numbers, np.cumsum(sizes)[:-1])
+    some = seen > 0
+    model.embedding[some] = (total.reshape(model.embedding.shape)[some] / seen[some, None] / UNIT).astype(np.float32)
+    for p, x in zip(_params(model)[1:], others, strict=True):
+        p[...] = (x.reshape(p.shape) / n[0] / UNIT).astype(np.float32)
+    know_languages(model, words.reshape(1 << BITS, own + 1))
+
+
+def _told(rows: DataFrame, model: Model) -> DataFrame:
+    """k (the language that the words tell), bin (of the logit) and toxic of each row."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches, "text"):
+            w = split(batch.column("text"))
+            bins = np.floor(logits(shared.value, w).astype(float) * FINE).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(language_of(shared.value, w)), pa.array(bins), batch.column("toxic")], ["k", "bin", "toxic"])
+
+    return rows.select("text", "toxic").mapInArrow(giving_back(run), "k long, bin long, toxic int")
+
+
 def begin(rng: np.random.Generator) -> Model:
     """A model that knows nothing yet."""
     total = FILTERS * len(WIDTHS)
@@ -165,19 +262,32 @@ def fit_texts(texts: list, toxic: np.ndarray, langs: list[str], stands_for: tupl
     del texts  # the codes are all that is needed from here on
     feats = buckets(w)
     held = rng.random(count) < HELD
-    train = np.flatnonzero(~held) if (~held).any() else np.arange(count)
-    share = max(1, int((toxic[train] == 0).sum())) / max(1, int((toxic[train] == 1).sum()))
-    weight = np.where(toxic == 1, min(share, MOST_WEIGHT), 1.0)
-    params = [model.embedding, *model.kernels, model.bias, model.weights, model.offset]
-    square = [np.full_like(p, 1e-3) for p in params]
-    for _ in range(EPOCHS):
-        for batch in np.array_split(rng.permutation(train), max(1, len(train) // BATCH)):
+    some = np.flatnonzero(~held) if (~held).any() else np.arange(count)
+    square = [np.full_like(p, 1e-3) for p in _params(model)]
+    train(model, square, w, feats, toxic, some, rare(toxic, some), EPOCHS, rng)
+    _calibrate(model, w, feats, toxic, langs, np.flatnonzero(held), some, np.asarray(stands_for, float))
+    return model
+
+
+def _params(model: Model) -> list[np.ndarray]:
+    return [model.embedding, *model.kernels, model.bias, model.weights, model.offset]
+
+
+def rare(toxic: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """The weight of each row, more for toxic ones where they are rare among some."""
+    share = max(1, int((toxic[some] == 0).sum())) / max(1, int((toxic[some] == 1).sum()))
+    return np.where(toxic == 1, min(share, MOST_WEIGHT), 1.0)
+
+
+def train(model: Model, square: list[np.ndarray], w: Words, feats: np.ndarray, toxic: np.ndarray, some: np.ndarray, weight: np.ndarray, epochs: int, rng: np.random.Generator) -> None:
+    """Learn on from some of the texts, with Adagrad's sums of squares."""
+    params = _params(model)
+    for _ in range(epochs):
+        for batch in np.array_split(rng.permutation(some), max(1, len(some) // BATCH)):
             rows, grads = gradients(model, w, feats, batch, toxic[batch], weight[batch])[1:]
-            for p, s, g, at in zip(params, square, grads, [rows, *[slice(None)] * (len(params) - 1)], strict=True):  # Adagrad
+            for p, s, g, at in zip(params, square, grads, [rows, *[slice(None)] * (len(params) - 1)], strict=True):
                 s[at] += g * g
                 p[at] -= RATE * g / np.sqrt(s[at])
-    _calibrate(model, w, feats, toxic, langs, np.flatnonzero(held), train, np.asarray(stands_for, float))
-    return model
 
 
 def gradients(model: Model, w: Words, feats: np.ndarray, batch: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> tuple[float, np.ndarray, list[np.ndarray]]:
@@ -277,21 +387,39 @@ def _calibrate(model: Model, w: Words, feats: np.ndarray, toxic: np.ndarray, lan
     enough = lambda rows: len(rows) and min(toxic[rows].sum(), (1 - toxic[rows]).sum()) >= OWN
     own = sorted(x for x in set(langs) if enough(held[names[held] == x]))
     column = np.array([own.index(x) if x in own else len(own) for x in langs])
-    words = np.full((1 << BITS, len(own) + 1), 0.1)
-    for i in train:
-        codes = np.unique(w.codes[w.at[i] : w.at[i + 1]])
-        np.add.at(words[:, column[i]], feats[codes, 0], 1)
+    know_languages(model, count_words(w, feats, train, column, len(own) + 1))
+    if len(held):
+        place(model, language_of(model, w)[held], logits(model, w)[held], toxic[held], np.ones(len(held), int), stands_for)
+
+
+def count_words(w: Words, feats: np.ndarray, rows: np.ndarray, column: list[int] | np.ndarray, columns: int) -> np.ndarray:
+    """(2 ** BITS, columns) texts that hold a word, by the columns of their languages."""
+    words = np.zeros((1 << BITS, columns), np.int64)
+    for i in rows:
+        np.add.at(words[:, column[i]], feats[np.unique(w.codes[w.at[i] : w.at[i + 1]]), 0], 1)
+    return words
+
+
+def know_languages(model: Model, words: np.ndarray) -> None:
+    words = words + 0.1
     model.languages = np.log(words / words.sum(0)).astype(np.float32)
-    model.shifts, model.scales = np.zeros(len(own) + 1), np.ones(len(own) + 1)
-    if not len(held) or toxic[held].all() or not toxic[held].any():
+    model.shifts, model.scales = np.zeros(words.shape[1]), np.ones(words.shape[1])
+
+
+def place(model: Model, told: np.ndarray, z: np.ndarray, toxic: np.ndarray, n: np.ndarray, stands_for: np.ndarray | tuple[float, float] = (1.0, 1.0)) -> None:
+    """Scale and place of the logits of each language that has enough rows, and of all others together. ``n``:
+    how many held-out rows there are of a language as told, a logit and a class."""
+    enough = lambda rows: min((n * toxic)[rows].sum(), (n * (1 - toxic))[rows].sum()) >= OWN
+    weight = n * np.asarray(stands_for, float)[toxic]
+    total = np.bincount(toxic, weight, minlength=2)
+    if not total.all():  # no row, or those of one class
         return
-    z, told, weight = logits(model, w), language_of(model, w), stands_for[toxic]
-    total = np.bincount(toxic[held], weight[held], minlength=2)
     # an error on the rarer class weighs more, by the root of how much rarer it is
     dear = np.sqrt(total.sum() / total)[toxic]
-    for k in range(len(own) + 1):
-        rows = held[told[held] == k]
-        rows = rows if k < len(own) and enough(rows) else held
+    last = len(model.shifts) - 1
+    for k in range(last + 1):
+        rows = np.flatnonzero(told == k)
+        rows = rows if k < last and enough(rows) else np.arange(len(told))
         model.shifts[k] = fewest_errors(z[rows], toxic[rows], (weight * dear)[rows])
         model.scales[k] = platt(z[rows], toxic[rows], weight[rows])[1]
 

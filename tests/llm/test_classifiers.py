@@ -270,3 +270,25 @@ def test_the_sample_does_not_hang_on_the_order_of_rows(spark, odd):
     for fit in (language_id.fit, lambda d: toxicity.fit(d, labels), secrets.fit):
         a, b = fit(twice), fit(twice.repartition(7, "text").orderBy("text"))
         assert all(np.array_equal(np.asarray(getattr(a, k)), np.asarray(getattr(b, k))) for k in vars(a) if k != "kernels")
+
+
+def test_f17_toxicity_learns_and_calibrates_on_every_labelled_row(spark, monkeypatch):
+    """Cells of a few documents, and a small sample to begin with: each document's own word is counted, and each
+    language's place is that of all its rows that are set apart."""
+    monkeypatch.setattr(toxicity, "SAMPLE_PER_CLASS", 5)
+    monkeypatch.setattr(toxicity, "CELL_BYTES", 4000)
+    rows = [(i, f"{'awful' if i % 2 else 'lovely'} own{i} " + "text " * (i % 5), "en", i % 2) for i in range(900)]
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(r[0], r[3]) for r in rows], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    apart = {r.doc_id for r in labels.where(toxicity._held()).collect()}
+    learned = [r for r in rows if not held(r[0]) and r[0] not in apart]
+    words = toxicity.split(pa.array([f"own{r[0]}" for r in learned]))
+    seen = model.languages[toxicity.buckets(words)[:, 0]].max(1)
+    assert len(learned) > 500 and (seen > model.languages.min(0).max() + 1).all()
+    some = [r for r in rows if not held(r[0]) and r[0] in apart]
+    w = toxicity.split(pa.array([r[1] for r in some]))
+    z, y = toxicity.logits(model, w), np.array([r[3] for r in some])
+    assert len(some) > 100 and abs(model.shifts[0] - toxicity.fewest_errors(np.floor(z * toxicity.FINE) / toxicity.FINE, y, np.full(len(y), np.sqrt(2)))) < 3 / toxicity.FINE
+    again = toxicity.fit(docs.repartition(5), labels.repartition(3))
+    assert np.array_equal(model.embedding, again.embedding) and np.array_equal(model.shifts, again.shifts)
