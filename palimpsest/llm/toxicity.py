@@ -173,8 +173,9 @@ def fit(documents: DataFrame, labels: DataFrame) -> Model:
     own = sorted(r.lang for r in langs.where(f"n >= {few} and n1 >= {OWN} and n - n1 >= {OWN}").collect())  # some ONE_IN rows at most
     bulk = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     cell = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(bulk // CELL_BYTES + 1)).alias("cell")
-    docs = docs.select(F.col("doc_id").cast("string").alias("id"), "text", "lang", cell)
-    marked = marked.select(F.col("doc_id").cast("string").alias("id"), F.col("toxic").cast("int").alias("toxic"), _held().alias("held"), cell)
+    tasks = 4 * (bulk // CELL_BYTES + 1)
+    docs = docs.select(F.col("doc_id").cast("string").alias("id"), "text", "lang", cell).repartition(tasks, "cell")
+    marked = marked.select(F.col("doc_id").cast("string").alias("id"), F.col("toxic").cast("int").alias("toxic"), _held().alias("held"), cell).repartition(tasks, "cell")
     # at a rare class's weight of the whole table, not of the sample
     learn = _learner(documents, model, square, own, min(max(1, count.get((0, False), 0)) / max(1, count.get((1, False), 0)), MOST_WEIGHT))
     parts = save_shared(docs.groupBy("cell").cogroup(marked.groupBy("cell")).applyInArrow(learn, f"{PARTS}, text string, toxic int"), "toxic-cells")
