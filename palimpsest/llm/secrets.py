@@ -4,9 +4,12 @@ A candidate is any run of key characters that holds a letter, with digits or wit
 reads it with what stands around it: characters are embedded, filters of two widths slide over them, the
 maxima go through a logistic layer; of a long candidate all overlapping windows are read, in training
 as in scoring, and the largest logit counts. It is trained on labelled findings: what the patterns find
-in a sample of the corpus, invented keys of known shapes, and candidates that are neither (of those
-without a digit, mostly long words, a sample). Its threshold is the highest that still finds the
-wanted share of labelled secrets outside the training set, whatever the sign of its logit.
+in the corpus, invented keys of known shapes, and candidates that are neither. Its threshold is the
+highest that still finds the wanted share of labelled secrets outside the training set, of those of the
+corpus and of the invented ones alike, whatever the sign of its logit.
+
+All candidates of all whole texts take part. A sample gives the network that all begin from; then each cell of
+candidates learns on from it, beside the invented ones, in a task of its own, and the cells' networks are averaged.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ import hashlib
 import re
 import string
 from collections.abc import Iterator
+from copy import deepcopy
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fit_text, giving_back, release_memory, text_slices
+from .common import PARTS, UNIT, added_up, drop_shared, fit_text, giving_back, in_parts, release_memory, save_shared, text_slices
 
 KINDS = ("assign", "access", "hex")
 #: The kind of what only the network finds.
@@ -40,8 +44,10 @@ EMBED, FILTERS, WIDTHS = 8, 12, (3, 5)
 LEAST, SAMPLE_DOCUMENTS = 12, 4000
 _KEY_RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
 _LETTER = re.compile(r"[A-Za-z]")
-#: Candidates without a digit that the network learns from, at most; all of them are scored.
+#: Candidates without a digit that the network begins with, at most; it learns on from all of them.
 WORDS = 10_000
+#: Windows of the candidates that one cell holds, about, and parts of one that logits are told apart by.
+CELL_WINDOWS, FINE = 1 << 14, 1024
 INVENTED, EPOCHS, BATCH, RATE = 1200, 6, 64, 0.05
 #: The share of candidates that the threshold is taken from, and of their secrets that it keeps.
 HELD, RECALL = 0.25, 0.95
@@ -155,45 +161,73 @@ def begin(rng: np.random.Generator) -> Model:
 
 
 def fit_texts(texts: list[str]) -> Model:
+    return _begun(texts)[0]
+
+
+def _begun(texts: list[str]) -> tuple[Model, list[np.ndarray]]:
+    """A network from a few texts, and Adagrad's sums of squares."""
     rng = np.random.default_rng(5)
     found, plain = [], []  # (windows, label) of each candidate; those without a digit that no pattern touches
     for text in texts:
-        base = sorted(s for spans in find_base(text or "").values() for s in spans)
-        for a, b in candidates(text or ""):
-            good = any(x < b and a < y for x, y in base)
+        for a, b, good in labelled(text or ""):
             if not good and not _DIGIT.search(text, a, b):
                 plain.append((text, a, b))
             else:
-                found.append((windows(text, a, b), int(good)))
+                found.append((windows(text, a, b), good))
     found += [(windows(*plain[i]), 0) for i in np.sort(rng.permutation(len(plain))[:WORDS])]
-    for _ in range(INVENTED):
-        text, a, b, y = invent(rng)
-        found.append((windows(text, a, b), y))
-    owner = np.repeat(np.arange(len(found)), [len(w) for w, _ in found])
-    codes, y = _codes([p for w, _ in found for p in w]), np.array([y for _, y in found])
+    found += invented(rng)
+    owner, codes, y = coded(found)
     held = rng.random(len(found)) < HELD
     model = begin(rng)
-    params = [model.embedding, *model.kernels, model.bias, model.weights, model.offset]
-    square = [np.full_like(p, 1e-2) for p in params[:-1]]
-    train = np.flatnonzero(~held[owner])
-    mean = y[owner[train]].mean()
-    weight = np.where(y == 1, 0.5 / max(1e-9, mean), 0.5 / max(1e-9, 1 - mean))[owner]
-    for _ in range(EPOCHS):
-        for batch in np.array_split(rng.permutation(train), max(1, len(train) // BATCH)):
-            grads = gradients(model, codes[batch], y[owner[batch]], weight[batch])[1]
-            for p, g, s in zip(params, grads, square, strict=False):
-                s += g * g
-                p -= RATE * g / np.sqrt(s)
-            model.offset -= RATE * grads[-1]
+    square = [np.full_like(p, 1e-2) for p in _params(model)[:-1]]
+    train(model, square, codes, y[owner], np.flatnonzero(~held[owner]), EPOCHS, rng)
     some = np.flatnonzero(held & (y == 1))
     if len(some):
-        best = np.full(len(found), -np.inf)
-        inside = np.flatnonzero(np.isin(owner, some))
-        for a in range(0, len(inside), 2048):
-            np.maximum.at(best, owner[inside[a : a + 2048]], _forward(model, codes[inside[a : a + 2048]])[3])
+        best = highest(model, codes, owner, len(found))
         model.threshold = keeping(best[some], RECALL)
         model.recall = float((best[some] >= model.threshold).mean())
-    return model
+    return model, square
+
+
+def labelled(text: str) -> list[tuple[int, int, int]]:
+    """(begin, end, 1 where a pattern touches it) of each candidate."""
+    base = sorted(s for spans in find_base(text).values() for s in spans)
+    return [(a, b, int(any(x < b and a < y for x, y in base))) for a, b in candidates(text)]
+
+
+def invented(rng: np.random.Generator) -> list[tuple[list[str], int]]:
+    made = [invent(rng) for _ in range(INVENTED)]
+    return [(windows(text, a, b), y) for text, a, b, y in made]
+
+
+def coded(found: list[tuple[list[str], int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The candidate of each window, the windows' codes, and the candidates' labels."""
+    return np.repeat(np.arange(len(found)), [len(w) for w, _ in found]), _codes([p for w, _ in found for p in w]), np.array([y for _, y in found])
+
+
+def _params(model: Model) -> list[np.ndarray]:
+    return [model.embedding, *model.kernels, model.bias, model.weights, model.offset]
+
+
+def train(model: Model, square: list[np.ndarray], codes: np.ndarray, y: np.ndarray, some: np.ndarray, epochs: int, rng: np.random.Generator) -> None:
+    """Learn on from some of the windows; the classes weigh the same."""
+    params, mean = _params(model), y[some].mean()
+    weight = np.where(y == 1, 0.5 / max(1e-9, mean), 0.5 / max(1e-9, 1 - mean))
+    for _ in range(epochs):
+        for batch in np.array_split(rng.permutation(some), max(1, len(some) // BATCH)):
+            grads = gradients(model, codes[batch], y[batch], weight[batch])[1]
+            for p, g, s in zip(params, grads, square, strict=False):
+                s += g * g
+                p -= RATE * g / np.sqrt(s)
+            model.offset -= RATE * grads[-1]
+
+
+def highest(model: Model, codes: np.ndarray, owner: np.ndarray, count: int) -> np.ndarray:
+    """The largest logit among the windows of each candidate."""
+    best = np.full(count, -np.inf)
+    for a in range(0, len(codes), 2048):
+        np.maximum.at(best, owner[a : a + 2048], _forward(model, codes[a : a + 2048])[3])
+    return best
 
 
 def keeping(logit: np.ndarray, share: float) -> float:
@@ -202,17 +236,103 @@ def keeping(logit: np.ndarray, share: float) -> float:
 
 
 def fit(documents: DataFrame) -> Model:
-    """A model from about SAMPLE_DOCUMENTS documents, the first by a hash of the id; of rows with one id the
-    first by text. Of texts of over FIT_CHARS characters a window of as many is learned from, which a hash of
-    the text places."""
+    """A model from all candidates of all whole texts; rows of one id and text are learned from once. It begins
+    with about SAMPLE_DOCUMENTS documents, the first by a hash of the id, and windows of long texts."""
     n = max(1, documents.select("doc_id").count())
     share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     rows = documents.where(F.col("text").isNotNull() & (share < SAMPLE_DOCUMENTS / n)).groupBy("doc_id").agg(F.min(fit_text("text")).alias("text"))
-    model = fit_texts(rows.toPandas().sort_values("doc_id")["text"].tolist())
+    model, square = _begun(rows.toPandas().sort_values("doc_id")["text"].tolist())
+    found = save_shared(_all_candidates(documents).dropDuplicates(["key", "at"]), "key-candidates")
+    cells = (found.agg(F.sum("n")).first()[0] or 0) // CELL_WINDOWS + 1
+    cell = F.pmod(F.xxhash64("key", "at"), F.lit(cells)).alias("cell")
+    held = (F.pmod(F.xxhash64(F.lit("held"), "key", "at"), F.lit(round(1 / HELD))) == 0).alias("held")
+    mine = found.where(~held).select("key", "at", "good", "pieces", cell).repartition(int(4 * cells), "cell")
+    parts = mine.groupBy("cell").applyInArrow(_learner(documents, model, square), PARTS)
+    _average(model, added_up(parts))
+    _keep_share(model, _logits(found.where(held & (F.col("good") == 1)), model))
+    drop_shared(found)
     release_memory()
     return model
 
 
+def _all_candidates(documents: DataFrame) -> DataFrame:
+    """key (a hash of the row's id and text), at, good, n (windows) and pieces (the windows, one after the other)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches, "text"):
+            rows = []
+            for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                for a, b, good in labelled(text):
+                    w = windows(text, a, b)
+                    rows.append((key, a, good, len(w), "".join(w)))
+            cols = list(zip(*rows, strict=True)) or [[]] * 5
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["key", "at", "good", "n", "pieces"])
+
+    rows = documents.where("text is not null").select(F.xxhash64(F.col("doc_id").cast("string"), "text").alias("key"), "text")
+    return rows.mapInArrow(giving_back(run), "key long, at long, good int, n long, pieces string")
+
+
+def _cut(pieces: str) -> list[str]:
+    return [pieces[i : i + WINDOW] for i in range(0, len(pieces), WINDOW)]
+
+
+def _learner(documents: DataFrame, model: Model, square: list[np.ndarray]):
+    """What a cell makes of its candidates: its network as whole numbers, and how many windows it saw."""
+    shared = documents.sparkSession.sparkContext.broadcast((model, square))
+
+    def learn(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("key", "ascending"), ("at", "ascending")])
+        rng = np.random.default_rng(rows.num_rows)
+        found = [(_cut(p), y) for p, y in zip(rows["pieces"].to_pylist(), rows["good"].to_pylist(), strict=True)]
+        n = sum(len(w) for w, _ in found)
+        owner, codes, y = coded(found + [x for x in invented(rng)])
+        local, state = deepcopy(shared.value)
+        train(local, state, codes, y[owner], np.arange(len(codes)), 1, rng)
+        numbers = [*[n * np.rint(p * UNIT).astype(np.int64).ravel() for p in _params(local)], np.array([n])]
+        release_memory()
+        return pa.Table.from_batches([in_parts(np.concatenate(numbers))])
+
+    return learn
+
+
+def _average(model: Model, numbers: np.ndarray) -> None:
+    """The mean of the cells' networks, each weighed by its windows."""
+    if len(numbers):
+        params = _params(model)
+        for p, x in zip(params, np.split(numbers[:-1], np.cumsum([p.size for p in params])[:-1]), strict=True):
+            p[...] = x.reshape(p.shape) / numbers[-1] / UNIT
+
+
+def _logits(rows: DataFrame, model: Model) -> list[tuple[int, int]]:
+    """(logit in parts of 1 / FINE, candidates) from the least on."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches, "pieces"):
+            found = [(_cut(p), 1) for p in batch.column("pieces").to_pylist()]
+            owner, codes, _ = coded(found)
+            yield pa.RecordBatch.from_arrays([pa.array(np.floor(highest(shared.value, codes, owner, len(found)) * FINE).astype(np.int64))], ["bin"])
+
+    return sorted((r.bin, r["count"]) for r in rows.select("pieces").mapInArrow(giving_back(run), "bin long").groupBy("bin").count().collect())
+
+
+def _keep_share(model: Model, bins: list[tuple[int, int]]) -> None:
+    """The highest threshold that finds the wanted share of the secrets set apart, of those of the corpus and of
+    invented ones that no cell saw."""
+    owner, codes, y = coded(invented(np.random.default_rng(6)))
+    made = highest(model, codes, owner, len(y))[y == 1]
+    model.threshold = keeping(made, RECALL)
+    real, below = sum(n for _, n in bins), 0
+    for at, n in bins:
+        below += n
+        if below > int((1 - RECALL) * real):
+            model.threshold = min(model.threshold, at / FINE)
+            break
+    hits = sum(n for at, n in bins if at / FINE >= model.threshold) + (made >= model.threshold).sum()
+    model.recall = float(hits / (real + len(made)))
+
+
 def find_learned(model: Model, texts: list[str], base: list[dict[str, list[Span]]]) -> list[list[Span]]:
     """For each text the candidates that the network takes for secrets and no pattern touches."""
     pieces, owner, spans = [], [], []

@@ -292,3 +292,24 @@ def test_f17_toxicity_learns_and_calibrates_on_every_labelled_row(spark, monkeyp
     assert len(some) > 100 and abs(model.shifts[0] - toxicity.fewest_errors(np.floor(z * toxicity.FINE) / toxicity.FINE, y, np.full(len(y), np.sqrt(2)))) < 3 / toxicity.FINE
     again = toxicity.fit(docs.repartition(5), labels.repartition(3))
     assert np.array_equal(model.embedding, again.embedding) and np.array_equal(model.shifts, again.shifts)
+
+
+def test_f16_secrets_are_learned_from_every_candidate(spark, monkeypatch):
+    """Cells of a few candidates and a small sample to begin with: all windows of all whole texts are learned from,
+    and the threshold keeps its share of all secrets that are set apart."""
+    monkeypatch.setattr(secrets, "SAMPLE_DOCUMENTS", 5)
+    monkeypatch.setattr(secrets, "CELL_WINDOWS", 500)
+    rng = np.random.default_rng(4)
+    key = lambda n: "".join(rng.choice(list("abcdef0123456789"), n))
+    rows = [(i, f"token = {key(20)} " + "short " * (5000 if i == 7 else 3) + f"extraordinarily{i} internationalization") for i in range(400)]
+    docs = spark.createDataFrame([*rows, rows[0], (None, None)], "doc_id long, text string")
+    summed = []
+    monkeypatch.setattr(secrets, "added_up", lambda parts, real=secrets.added_up: summed.append(real(parts)) or summed[0])
+    model = secrets.fit(docs)
+    found = secrets._all_candidates(docs).dropDuplicates(["key", "at"]).toPandas()
+    assert len(found) == sum(len(secrets.candidates(t)) for _, t in rows) and found["n"].sum() * 0.7 < summed[0][-1] < found["n"].sum() * 0.8
+    best = np.array([secrets.scores(model, secrets._cut(p)).max() for p in found[found["good"] == 1]["pieces"]])
+    assert (best >= model.threshold).mean() > 0.9 and model.recall >= secrets.RECALL
+    summed.clear()
+    again = secrets.fit(docs.repartition(5, "text"))
+    assert all(np.array_equal(a, b) for a, b in zip(secrets._params(model), secrets._params(again), strict=True)) and again.threshold == model.threshold
